@@ -57,3 +57,23 @@ union all
 select 'eval_v3', example_id from eval_v3
 where input_text is not null and input_text <> '' and {mapped('input_text')} <> input_text
 """
+
+P4_FOUND = f"""
+with r as (select example_id as id, source, lower(trim(split_name)) as split, {words('input_text')} as iw, list_sort({words('target_text')}) as tw from eval_v3
+           where lower(trim(split_name)) in ('train', 'validation', 'test')),
+s as (select id, split, list_sort(case when iw[1] = 'correct' then iw[2:] else iw end) as iw, tw from r),
+n as (select id, split, list_transform(iw, lambda w, i: w || ' ' || (i - list_position(iw, w))) as iw, list_transform(tw, lambda w, i: w || ' ' || (i - list_position(tw, w))) as tw from s),
+p as (select least(a.id, b.id) as example_id_a, greatest(a.id, b.id) as example_id_b,
+        greatest(len(a.iw), len(b.iw)) - len(list_intersect(a.iw, b.iw)) as di, greatest(len(a.tw), len(b.tw)) - len(list_intersect(a.tw, b.tw)) as dt,
+        least(len(a.iw), len(b.iw), len(a.tw), len(b.tw)) as shortest
+      from n a join n b on a.split = 'train' and b.split <> 'train' and abs(len(a.iw) - len(b.iw)) <= 1 and abs(len(a.tw) - len(b.tw)) <= 1)
+select example_id_a, example_id_b from p where (di = 0 and dt = 0) or (shortest >= 5 and di <= 1 and dt <= 1)
+"""
+
+P8_FOUND = f"""
+with i as (select item_id, {words('text')} as w from heldout_passages),
+iw as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda p: array_to_string(w[p:p + 11], ' '))) as g from i where len(w) >= 12),
+d as (select doc_id, {words('text')} as w from documents),
+dw as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda p: array_to_string(w[p:p + 11], ' '))) as g from d where len(w) >= 12)
+select distinct doc_id, item_id from dw join iw using (g)
+"""

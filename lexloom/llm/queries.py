@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import group_split, lookalike, oracles, qdigest, quota_sample
+from lexloom.llm import group_split, leakage, lookalike, oracles, qdigest, quota_sample, split_overlap
 from lexloom.session import cut, table
 
 QUANTILES = [0.5, 0.9, 0.99]
@@ -37,6 +37,15 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark, sf_dir)[1]
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = split_overlap.overlaps(table(spark, sf_dir, "eval_v3"))
+    return pairs.select(F.least("train_id", "eval_id").alias("example_id_a"), F.greatest("train_id", "eval_id").alias("example_id_b"))
+
+
+def p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.coverage(table(spark, sf_dir, "eval_v3"))
+
+
 def _run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(qdigest.digests(table(spark, sf_dir, "results"), "latency_ms", ["model", "run_id"], F.col("error") == ""))
 
@@ -94,14 +103,24 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_passages"))
+
+
+def p8_reworded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.reworded_questions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_passages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found, "p2_split": p2_split,
         "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report,
+        "p4_found": p4_found, "p4_coverage": p4_coverage,
         "p5_percentiles": p5_percentiles, "p5_within_bounds": p5_within_bounds,
         "p6_found": p6_found, "p6_forms": p6_forms,
+        "p8_found": p8_found, "p8_reworded": p8_reworded,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND}
+    return {"p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND, "p8_found": oracles.P8_FOUND}
