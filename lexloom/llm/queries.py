@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import group_split, leakage, lookalike, oracles, qdigest, quota_sample, split_overlap
+from lexloom.llm import canonical_map, group_split, leakage, lookalike, oracles, qdigest, quota_sample, split_overlap
 from lexloom.session import cut, table
 
 QUANTILES = [0.5, 0.9, 0.99]
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_map.map_to_canonical(table(spark, sf_dir, "correction_requests"), table(spark, sf_dir, "brand_catalog"), "request_id", "query")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).filter(F.col("canonical").isNotNull()).select(F.col("id").alias("request_id"), "canonical")
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that name no entry, with their query."""
+    return _mapped(spark, sf_dir).filter(F.col("canonical").isNull()).select(F.col("id").alias("request_id"), F.col("value").alias("query"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_split.shared_targets(table(spark, sf_dir, "eval_v3"), "example_id", "target_text", "category")
 
@@ -113,6 +126,7 @@ def p8_reworded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found, "p1_unmatched": p1_unmatched,
         "p2_found": p2_found, "p2_split": p2_split,
         "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report,
         "p4_found": p4_found, "p4_coverage": p4_coverage,
