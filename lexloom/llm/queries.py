@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import canonical_map, group_split, leakage, lookalike, oracles, qdigest, quota_sample, split_overlap
+from lexloom.llm import canonical_map, group_split, leakage, lookalike, oracles, packing, qdigest, quota_sample, split_overlap, truncation
 from lexloom.session import cut, table
 
 QUANTILES = [0.5, 0.9, 0.99]
@@ -116,6 +116,11 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_all(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "containers"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_passages"))
 
@@ -124,6 +129,21 @@ def p8_reworded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.reworded_questions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_passages"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = truncation.scored_endings(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return ends.filter("truncated").select(F.col("id").alias("doc_id"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lengths at which a source cuts its texts."""
+    ends = truncation.endings(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return truncation.length_hazards(ends).filter("significant").select("source", "unit", "length", "n", "hazard", "surplus")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_unmatched": p1_unmatched,
@@ -132,7 +152,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found, "p4_coverage": p4_coverage,
         "p5_percentiles": p5_percentiles, "p5_within_bounds": p5_within_bounds,
         "p6_found": p6_found, "p6_forms": p6_forms,
+        "p7_containers": p7_containers,
         "p8_found": p8_found, "p8_reworded": p8_reworded,
+        "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits,
     }
 
 
