@@ -13,15 +13,18 @@ def join_back(rows: DataFrame, groups: DataFrame, key: str, count: str, total: i
     """Left-join per-group values back onto the rows of the groups.
 
     ``groups`` has one row per key with its row count. The hot keys, those with at least ``total / HOT_SHARE`` rows, are
-    at most ``HOT_SHARE`` and are broadcast; the rest meet in a shuffled join in which no key is large. Rows with a NULL
-    key never enter the shuffle. ``groups`` is read twice, so give it cut or cheap.
+    at most ``HOT_SHARE`` and are broadcast; the rest meet in a shuffled join in which no key is large. Rows of hot and of
+    NULL keys are spread over that shuffle by a hash of the whole row, so ``rows`` is read once. ``groups`` is read
+    twice, so give it cut or cheap. Keys must be strings or binary.
     """
     least = max(1, total // HOT_SHARE)
     side = groups.select(F.col(key).alias("_k"), F.col(count).alias("_n"), F.struct(*columns).alias("_v"))
     hot = side.filter(F.col("_n") > least).select("_k", F.col("_v").alias("_hot"))
-    cold = side.filter(F.col("_n") <= least).select(F.col("_k").alias("_ck"), F.col("_v").alias("_cold"))
+    cold = side.filter(F.col("_n") <= least).select(F.struct(F.lit(0).cast("bigint").alias("s"), F.col("_k").alias("k")).alias("_ck"), F.col("_v").alias("_cold"))
+    kind = rows.schema[key].dataType
+    spread = F.struct(F.xxhash64(*rows.columns).alias("s"), F.lit(None).cast(kind).alias("k"))
     marked = rows.join(F.broadcast(hot), rows[key] == F.col("_k"), "left").drop("_k")
-    rest = marked.filter(F.col("_hot").isNull() & F.col(key).isNotNull()).join(cold, F.col(key) == F.col("_ck"), "left").drop("_ck")
-    done = marked.filter(F.col("_hot").isNotNull() | F.col(key).isNull()).withColumn("_cold", F.lit(None).cast(cold.schema["_cold"].dataType))
-    both = rest.select(*rest.columns).unionByName(done).withColumn("_v", F.coalesce("_hot", "_cold"))
+    alone = F.col("_hot").isNotNull() | F.col(key).isNull()
+    marked = marked.withColumn("_rk", F.when(alone, spread).otherwise(F.struct(F.lit(0).cast("bigint").alias("s"), F.col(key).alias("k"))))
+    both = marked.join(cold, F.col("_rk") == F.col("_ck"), "left").withColumn("_v", F.coalesce("_hot", "_cold"))
     return both.select(*rows.columns, *[F.col("_v")[c].alias(c) for c in columns])
