@@ -121,40 +121,38 @@ def words_of(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(mapped_text(c)), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def canonical_forms(values: DataFrame, value: str = "value") -> DataFrame:
-    """One row per distinct value: ``value, value_rows, mapped, canonical, class_rows``.
+def canonical_forms(mapped: DataFrame) -> DataFrame:
+    """One row per distinct mapped value: ``mapped, form_rows, canonical, class_rows``.
 
     Classes are the mapped values equal under the accent-sensitive collation ``UNICODE_CI``; the member chosen is the
-    mapped form with the fewest capital letters, then the smallest by code point, so every run picks the same. Rows are
-    counted per distinct value before anything is grouped by collation, so a value that holds a third of all rows
-    reaches that step as one row. NULL values form no class and are left out; the empty string is its own class.
+    one with the fewest capital letters, then the smallest by code point, so every run picks the same. Rows are counted
+    per distinct form before anything is grouped by collation, so a value that holds a third of all rows reaches that
+    step as one row. NULL values form no class and are left out; the empty string is its own class.
     """
-    v = F.col(value)
-    distinct = values.filter(v.isNotNull()).groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    mapped = distinct.withColumn("mapped", F.trim(F.regexp_replace(mapped_text(F.col("value")), " +", " ")))
-    mapped.createOrReplaceTempView("lexloom_mapped_values")
-    return values.sparkSession.sql(f"""
-        with forms as (select mapped, sum(n) as n from lexloom_mapped_values group by mapped),
-        classes as (
-            select collate(mapped, '{COLLATION}') as class_key, sum(n) as class_rows,
-                   min(struct(length(regexp_replace(mapped, '[^\\\\p{{Lu}}]', '')), mapped)).mapped as canonical
-            from forms group by collate(mapped, '{COLLATION}'))
-        select v.value, v.n as value_rows, v.mapped, c.canonical, c.class_rows
-        from lexloom_mapped_values v join classes c on collate(v.mapped, '{COLLATION}') = c.class_key
+    mapped.filter(F.col("mapped").isNotNull()).groupBy("mapped").agg(F.count(F.lit(1)).alias("form_rows")).createOrReplaceTempView("lexloom_forms")
+    return mapped.sparkSession.sql(f"""
+        select mapped, form_rows, class_rows, chosen.mapped as canonical from (select mapped, form_rows, sum(form_rows) over class as class_rows,
+               min(struct(length(regexp_replace(mapped, '[^\\p{{Lu}}]', '')), mapped)) over class as chosen
+        from lexloom_forms window class as (partition by collate(mapped, '{COLLATION}')))
     """)
 
 
-def consistent_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every row's text in one consistent form: ``id, value, mapped, canonical, class_rows, odd``.
+def one_space(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, " {2,}", " "))
+
+
+def consistent_form(df: DataFrame, id_col: str, text_col: str, only_odd: bool = False) -> DataFrame:
+    """Every row's text in one consistent form: ``id, value, mapped, odd, canonical, class_rows``.
 
     ``odd`` is true where the stored text holds characters that only look right, that is, where mapping changes it.
-    NULL text: mapped, canonical and class_rows are NULL and odd is false. Repeated rows and ids give one row each.
-    Other columns of ``df`` are ignored, whatever their names.
+    Classes are always made of all rows; ``only_odd`` joins them back to the odd rows alone. NULL text: mapped,
+    canonical and class_rows are NULL and odd is false. Repeated rows and ids give one row each. Other columns of
+    ``df`` are ignored, whatever their names.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("value"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("value"), one_space(mapped_text(F.col(text_col))).alias("mapped"))
     forms = cut(canonical_forms(rows))
-    out = join_back(rows, forms, "value", "value_rows", df.count(), ["mapped", "canonical", "class_rows"])
-    return out.withColumn("odd", odd_text(F.col("value")))
+    rows = rows.withColumn("odd", odd_text(F.col("value")))
+    return join_back(rows.filter("odd") if only_odd else rows, forms, "mapped", "form_rows", df.count(), ["canonical", "class_rows"])
 
 
 def odd_text(c: Column) -> Column:

@@ -98,8 +98,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose text is not the form its class agreed on, held exactly against the characters that make it odd."""
     out = None
     for name, id_col, text in TEXTS:
-        rows = lookalike.consistent_form(table(spark, sf_dir, name), id_col, text)
-        differs = F.lower(F.trim(F.regexp_replace("value", " +", " "))) != F.lower("canonical")
+        rows = lookalike.consistent_form(table(spark, sf_dir, name), id_col, text, only_odd=True)
+        differs = F.lower(lookalike.one_space(F.col("value"))) != F.lower("canonical")
         part = rows.filter(differs & F.col("odd")).select(F.lit(name).alias("table_name"), F.col("id").alias("row_id"))
         out = part if out is None else out.unionByName(part)
     return out
