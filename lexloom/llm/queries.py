@@ -94,26 +94,22 @@ def p5_within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXTS = [("correction_requests", "request_id", "query"), ("eval_v3", "example_id", "input_text")]
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables' texts as one, so that equal-looking texts of either compare equal."""
+    parts = [table(spark, sf_dir, n).select(F.lit(n).alias("table_name"), F.col(i).alias("row_id"), F.col(t).alias("text")) for n, i, t in TEXTS]
+    return parts[0].unionByName(parts[1]).withColumn("id", F.struct("table_name", "row_id"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose text is not the form its class agreed on, held exactly against the characters that make it odd."""
-    out = None
-    for name, id_col, text in TEXTS:
-        rows = lookalike.consistent_form(table(spark, sf_dir, name), id_col, text, only_odd=True)
-        differs = F.lower(lookalike.one_space(F.col("value"))) != F.lower("canonical")
-        part = rows.filter(differs & F.col("odd")).select(F.lit(name).alias("table_name"), F.col("id").alias("row_id"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = lookalike.consistent_form(_texts(spark, sf_dir), "id", "text", only_odd=True)
+    differs = F.lower(lookalike.one_space(F.col("value"))) != F.lower("canonical")
+    return rows.filter(differs & F.col("odd")).select("id.table_name", "id.row_id")
 
 
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's consistent form."""
-    out = None
-    for name, id_col, text in TEXTS:
-        part = lookalike.consistent_form(table(spark, sf_dir, name), id_col, text).select(
-            F.lit(name).alias("table_name"), F.col("id").alias("row_id"), "canonical", "class_rows"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    return lookalike.consistent_form(_texts(spark, sf_dir), "id", "text").select("id.table_name", "id.row_id", "canonical", "class_rows")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
