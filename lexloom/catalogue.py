@@ -5,22 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexloom.session import table
+from lexloom.plans import correction, evaluation, matching, pairs, texts, typo_plans
 
-
-def scores_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "results")
-    return r.groupBy("model").agg(F.count(F.lit(1)).alias("total"))
-
-
-SQL = {"scores_by_group": "select model, count(*) as total from results group by model"}
+MODULES = [evaluation, texts, typo_plans, pairs, matching, correction]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"scores_by_group": scores_by_group}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: v for m in MODULES for k, v in m.SQL.items()}

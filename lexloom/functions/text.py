@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PREFIX = "correct: "
 # Function words that are never kept as catalogue terms.
@@ -21,17 +22,22 @@ STOPWORDS = (
 BLOCKLIST = "tuatera herbaceously antediluvian amanuensis petrichor obsequious sesquipedalian pulchritudinous ennui vicissitude lugubrious perspicacious recalcitrant aberdeen albania yorkshire".split()
 
 
-def rng(seed: int, row_id: Column, slot: str) -> Column:
+def rng(seed: int, row_id: Column, slot: str | Column) -> Column:
     """A reproducible non-negative integer below 2**32 for a row and a purpose; the same in any engine that has MD5."""
-    text = F.concat_ws("|", F.lit(str(seed)), row_id.cast("string"), F.lit(slot))
+    text = F.concat_ws("|", F.lit(str(seed)), row_id.cast("string"), slot if isinstance(slot, Column) else F.lit(slot))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def rng_below(n: Column | int, seed: int, row_id: Column, slot: str) -> Column:
+def rng_below(n: Column | int, seed: int, row_id: Column, slot: str | Column) -> Column:
     n = n if isinstance(n, Column) else F.lit(n)
     return (rng(seed, row_id, slot) % n.cast("bigint")).cast("int")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value written, and computed, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pick(values: list[str], seed: int, row_id: Column, slot: str) -> Column:
     """One of a short list of values."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), rng_below(len(values), seed, row_id, slot) + 1)
@@ -108,7 +114,8 @@ def edit_share(a: Column, b: Column) -> Column:
 
 def positional_difference(a: Column, b: Column) -> Column:
     """Positions that differ within the shorter text, and the difference of lengths."""
-    zipped = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x.isNotNull() & y.isNotNull() & (x != y), 1).otherwise(0))
+    letters = lambda c: F.filter(F.split(c, ""), lambda v: v != "")
+    zipped = F.zip_with(letters(a), letters(b), lambda x, y: F.when(x.isNotNull() & y.isNotNull() & (x != y), 1).otherwise(0))
     return F.aggregate(zipped, F.lit(0), lambda s, x: s + x) + F.abs(F.length(a) - F.length(b))
 
 
@@ -184,13 +191,13 @@ def is_truncated(c: Column, most: int = 128) -> Column:
     return F.octet_length(c) + 1 > most
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters in the sense of longest matching blocks; Spark has no such function."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compatibility_form(c: pd.Series) -> pd.Series:
     """Compatibility-composed, lower-case text with single spaces; Spark has no Unicode normalisation."""
     return c.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).lower().split()))

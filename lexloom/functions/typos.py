@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import rng_below, tokens
+from lexloom.functions.text import let, rng_below, tokens
 
 # Neighbours on a QWERTY keyboard, digits included.
 KEYBOARD = {
@@ -84,19 +84,20 @@ def phonetic(w: Column, seed: int, row: Column) -> Column:
     The pair, the position and the sound are chosen by the row's numbers; a pair changes at its first occurrence.
     """
     low = F.lower(w)
+    sounds = _map({k: "|".join(v) for k, v in PHONETIC.items()})
+
+    def one_of(a: Column, slot: str) -> Column:
+        return F.get(a, rng_below(F.greatest(F.size(a), F.lit(1)), seed, row, slot))
+
+    def changed(at: Column, length: int) -> Column:
+        sound = let(F.split(F.element_at(sounds, F.substring(low, at, F.lit(length))), r"\|"), lambda o: one_of(o, "p.sound"))
+        return F.concat(_part(w, 1, at - 1), sound, _part(w, at + length, F.length(w)))
+
     pairs = F.filter(F.array(*[F.lit(d) for d in DIGRAPHS]), lambda d: low.contains(d))
-    pair = F.element_at(pairs, rng_below(F.greatest(F.size(pairs), F.lit(1)), seed, row, "p.pair") + 1)
-    singles = {k: "|".join(v) for k, v in PHONETIC.items()}
-    options = F.split(F.element_at(_map(singles), pair), r"\|")
-    sound = F.element_at(options, rng_below(F.greatest(F.size(options), F.lit(1)), seed, row, "p.sound") + 1)
-    at = F.position(pair, low)
-    by_pair = F.concat(_part(w, 1, at - 1), sound, _part(w, at + 2, F.length(w)))
     places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substring(low, i, F.lit(1)).isin([k for k in PHONETIC if len(k) == 1]))
-    i = F.element_at(places, rng_below(F.greatest(F.size(places), F.lit(1)), seed, row, "p.at") + 1)
-    one = F.split(F.element_at(_map(singles), F.substring(low, i, F.lit(1))), r"\|")
-    other = F.element_at(one, rng_below(F.greatest(F.size(one), F.lit(1)), seed, row, "p.sound") + 1)
-    by_letter = F.concat(_part(w, 1, i - 1), other, _part(w, i + 1, F.length(w)))
-    return F.when(F.length(w) < 3, None).when(F.size(pairs) > 0, by_pair).when(F.size(places) > 0, by_letter)
+    by_pair = let(let(pairs, lambda p: F.position(one_of(p, "p.pair"), low)), lambda at: changed(at, 2))
+    by_letter = let(let(places, lambda p: one_of(p, "p.at")), lambda at: changed(at, 1))
+    return F.when(F.length(w) >= 3, F.coalesce(by_pair, by_letter))
 
 
 def space(q: Column, seed: int, row: Column) -> Column:
@@ -121,38 +122,45 @@ def single(w: Column, seed: int, row: Column) -> Column:
         "keyboard": keyboard(w, seed, row), "delete": delete(w, seed, row), "swap": swap(w, seed, row), "phonetic": phonetic(w, seed, row),
         "double": double(w, seed, row), "insert": insert(w, seed, row), "omit": omit(w),
     }
-    all_typos = F.array(*made.values())
     limits, upto = [], 0
     for v in WEIGHTS.values():
         upto += v
         limits.append(upto)
 
-    def draw(k: int) -> Column:
-        r = rng_below(100, seed, row, f"1.{k}")
-        at = F.lit(len(limits))
-        for j in reversed(range(len(limits))):
-            at = F.when(r < limits[j], F.lit(j + 1)).otherwise(at)
-        return F.get(all_typos, at - 1)
+    def drawn(all_typos: Column) -> Column:
+        def draw(k: Column) -> Column:
+            r = rng_below(100, seed, row, F.concat(F.lit("1."), k.cast("string")))
+            return F.get(all_typos, F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x <= r)))
 
-    drawn = F.array(*[draw(k) for k in range(7)])
-    return F.get(F.filter(drawn, lambda t: t.isNotNull() & (t != w) & (F.length(t) >= 2)), F.lit(0))
+        hits = F.transform(F.sequence(F.lit(0), F.lit(6)), draw)
+        return F.get(F.filter(hits, lambda t: t.isNotNull() & (t != w) & (F.length(t) >= 2)), F.lit(0))
+
+    return let(F.array(*made.values()), drawn)
 
 
 def compound(w: Column, seed: int, row: Column) -> Column:
     """Two typos one after the other; the first alone where the second declines."""
-    first = single(w, seed, row)
-    second = F.coalesce(delete(first, seed + 1, row), swap(first, seed + 1, row))
-    return F.when(F.length(w) >= 4, F.when(second.isNull() | (second == first), first).otherwise(second))
+
+    def after(first: Column) -> Column:
+        return let(F.coalesce(delete(first, seed + 1, row), swap(first, seed + 1, row)), lambda s: F.when(s.isNull() | (s == first), first).otherwise(s))
+
+    return F.when(F.length(w) >= 4, let(single(w, seed, row), after))
 
 
 def query(q: Column, seed: int, row: Column) -> Column:
     """One word of letters, three or longer, misspelled; NULL where there is none or nothing changed."""
-    words = tokens(q)
-    fit = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.get(words, i - 1).rlike("^[A-Za-z]{3,}$"))
-    i = F.element_at(fit, rng_below(F.greatest(F.size(fit), F.lit(1)), seed, row, "q.word") + 1)
-    new = single(F.get(words, i - 1), seed, row)
-    out = F.array_join(F.concat(F.slice(words, F.lit(1), i - 1), F.array(new), F.slice(words, i + 1, F.size(words))), " ")
-    return F.when((F.size(fit) > 0) & new.isNotNull() & (out != q), out)
+
+    def with_words(words: Column) -> Column:
+        fit = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.get(words, i - 1).rlike("^[A-Za-z]{3,}$"))
+        at = let(fit, lambda f: F.get(f, rng_below(F.greatest(F.size(f), F.lit(1)), seed, row, "q.word")))
+
+        def with_place(i: Column) -> Column:
+            new = let(F.get(words, i - 1), lambda x: single(x, seed, row))
+            return F.array_join(F.concat(F.slice(words, F.lit(1), i - 1), F.array(new), F.slice(words, i + 1, F.size(words))), " ", "\0")
+
+        return F.when(at.isNotNull(), let(F.coalesce(at, F.lit(1)), with_place))
+
+    return let(let(tokens(q), with_words), lambda out: F.when((out != q) & ~out.contains("\0"), out))
 
 
 OPERATORS = {"keyboard": keyboard, "delete": delete, "swap": swap, "insert": insert, "double": double, "phonetic": phonetic, "space": space, "single": single, "compound": compound, "query": query}

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions.text import strip_edges, token_spans
 from lexloom.operators.matching import SPAN, alias_table, exact_spans, fuzzy_keys, fuzzy_match, resolved_spans
@@ -67,7 +68,7 @@ def unmask_strict(text: Column, mask_map: Column) -> Column:
     return F.aggregate(mask_map, text, lambda out, m: F.replace(out, m["token"], m["canonical"]))
 
 
-@F.pandas_udf("struct<text:string,unrestored:int>")
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("unrestored", T.IntegerType()))
 def unmask(text: pd.Series, tokens: pd.Series, canonicals: pd.Series) -> pd.DataFrame:
     """Three tiers: exact placeholders, damaged ones by their number, and as many shapes as are still missing by order."""
     out, missing = [], []
