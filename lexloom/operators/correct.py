@@ -66,7 +66,7 @@ def merge_fallback(output: Column, original: Column, corrections: Column) -> Col
     words = tokens(original)
 
     def at(t: Column, i: Column) -> Column:
-        hit = F.element_at(F.filter(used, lambda c: F.lower(c["original"]) == F.lower(F.get(words, i))), -1)
+        hit = F.try_element_at(F.filter(used, lambda c: F.lower(c["original"]) == F.lower(F.get(words, i))), F.lit(-1))
         return F.coalesce(hit["corrected"], t)
 
     return F.when(F.size(used) == 0, output).otherwise(F.array_join(F.transform(tokens(output), at), " "))
