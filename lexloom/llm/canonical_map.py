@@ -84,7 +84,8 @@ class CanonicalIndex:
         for s, words in by_squash.items():
             if len(s) >= FUZZY_LETTERS:
                 self.automaton.add_word(s, words)
-        self.automaton.make_automaton()
+        if len(self.automaton):
+            self.automaton.make_automaton()
         self.words = {w for p in self.patterns for w in p}
         self.fuzzy = {w for w in self.words if w.isalpha() and len(w) >= FUZZY_LETTERS}
         self.exact = self.words - self.fuzzy
@@ -157,7 +158,7 @@ class CanonicalIndex:
             owner.extend([i] * len(p))
         flat = "".join(text)
         hits = []
-        for end, words in self.automaton.iter(flat):
+        for end, words in self.automaton.iter(flat) if len(self.automaton) else ():
             start = end + 1 - sum(map(len, words))
             whole_start = not flat[start].isdigit() or start == 0 or not flat[start - 1].isdigit()
             whole_end = not flat[end].isdigit() or end + 1 == len(flat) or not flat[end + 1].isdigit()
