@@ -159,7 +159,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
-    rows = items.select(F.col(id_col).alias("id"), F.greatest(F.col(size_col).cast("bigint"), F.lit(0)).alias("whole"))
+    rows = items.select(F.col(id_col).alias("id"), F.when(F.col(size_col).isNotNull(), F.greatest(F.col(size_col).cast("bigint"), F.lit(0))).alias("whole"))
     cap = F.lit(capacity).cast("bigint")
     pieces = F.greatest(F.ceil(F.col("whole") / cap).cast("int"), F.lit(1))
     cut_up = rows.filter(F.col("whole").isNotNull()).select("id", "whole", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
