@@ -121,19 +121,20 @@ def words_of(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(mapped_text(c)), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def canonical_forms(mapped: DataFrame) -> DataFrame:
-    """One row per distinct mapped value: ``mapped, form_rows, canonical, class_rows``.
+def canonical_classes(mapped: DataFrame) -> DataFrame:
+    """``class_key, canonical, class_rows`` of the mapped values, one row a class.
 
     Classes are the mapped values equal under the accent-sensitive collation ``UNICODE_CI``; the member chosen is the
     one with the fewest capital letters, then the smallest by code point, so every run picks the same. Rows are counted
     per distinct form before anything is grouped by collation, so a value that holds a third of all rows reaches that
     step as one row. NULL values form no class and are left out; the empty string is its own class.
     """
-    mapped.filter(F.col("mapped").isNotNull()).groupBy("mapped").agg(F.count(F.lit(1)).alias("form_rows")).createOrReplaceTempView("lexloom_forms")
-    return mapped.sparkSession.sql(f"""
-        select mapped, form_rows, class_rows, chosen.mapped as canonical from (select mapped, form_rows, sum(form_rows) over class as class_rows,
-               min(struct(length(regexp_replace(mapped, '[^\\p{{Lu}}]', '')), mapped)) over class as chosen
-        from lexloom_forms window class as (partition by collate(mapped, '{COLLATION}')))
+    forms = mapped.filter(F.col("mapped").isNotNull()).groupBy("mapped").agg(F.count(F.lit(1)).alias("n"))
+    # the forms are distinct already: placed first, they are sorted and grouped in one step
+    forms.withColumn("class_key", F.collate("mapped", COLLATION)).repartition("class_key").createOrReplaceTempView("lexloom_forms")
+    return mapped.sparkSession.sql("""
+        select class_key, sum(n) as class_rows, min(struct(length(regexp_replace(mapped, '[^\\\\p{Lu}]', '')), mapped)).mapped as canonical
+        from lexloom_forms group by class_key
     """)
 
 
@@ -150,9 +151,9 @@ def consistent_form(df: DataFrame, id_col: str, text_col: str, only_odd: bool =
     ``df`` are ignored, whatever their names.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("value"), one_space(mapped_text(F.col(text_col))).alias("mapped"))
-    forms = cut(canonical_forms(rows))
-    rows = rows.withColumn("odd", odd_text(F.col("value")))
-    return join_back(rows.filter("odd") if only_odd else rows, forms, "mapped", "form_rows", df.count(), ["canonical", "class_rows"])
+    classes = cut(canonical_classes(rows))
+    rows = rows.withColumns({"odd": odd_text(F.col("value")), "class_key": F.collate("mapped", COLLATION)})
+    return join_back(rows.filter("odd") if only_odd else rows, classes, "class_key", "class_rows", df.count(), ["canonical", "class_rows"]).drop("class_key")
 
 
 def odd_text(c: Column) -> Column:
