@@ -163,4 +163,34 @@ def query(q: Column, seed: int, row: Column) -> Column:
     return let(let(tokens(q), with_words), lambda out: F.when((out != q) & ~out.contains("\0"), out))
 
 
-OPERATORS = {"keyboard": keyboard, "delete": delete, "swap": swap, "insert": insert, "double": double, "phonetic": phonetic, "space": space, "single": single, "compound": compound, "query": query}
+# Weights of the simpler mix of operators.
+SIMPLE_WEIGHTS = {"keyboard": 3, "swap": 2, "delete": 2, "double": 1, "insert": 1}
+
+
+def keyboard_letters(w: Column, seed: int, row: Column, inner: bool = False) -> Column:
+    """Like `keyboard` with letter keys only; with ``inner`` the first and last letter stay, from three letters on."""
+    first = 1 if inner else 0
+    n = F.greatest(F.length(w) - 2 * first, F.lit(1))
+    i = rng_below(n, seed, row, "k.at") + first
+    near = F.element_at(_map({k: "".join(c for c in v if c.isalpha()) for k, v in KEYBOARD.items()}), F.lower(_part(w, i + 1, 1)))
+    new = _part(near, rng_below(F.length(near), seed, row, "k.key") + 1, 1)
+    return F.when((F.length(w) >= (3 if inner else 2)) & (F.length(near) > 0), F.concat(_part(w, 1, i), new, _part(w, i + 2, F.length(w))))
+
+
+def delete_doubled(w: Column, seed: int, row: Column) -> Column:
+    """The first doubled letter once, else one inner letter missing."""
+    return F.when(F.length(w) >= 4, F.coalesce(omit(w), delete(w, seed, row)))
+
+
+def single_simple(w: Column, seed: int, row: Column) -> Column:
+    """One weighted draw among the simple operators; the keyboard's where that declines."""
+    made = {"keyboard": keyboard_letters(w, seed, row), "swap": swap(w, seed, row), "delete": delete(w, seed, row), "double": double(w, seed, row), "insert": insert(w, seed, row)}
+    r, upto, out = rng_below(sum(SIMPLE_WEIGHTS.values()), seed, row, "e"), sum(SIMPLE_WEIGHTS.values()), F.lit(None).cast("string")
+    for k in reversed(SIMPLE_WEIGHTS):
+        out = F.when(r < upto, made[k]).otherwise(out)
+        upto -= SIMPLE_WEIGHTS[k]
+    return F.coalesce(out, made["keyboard"])
+
+
+OPERATORS = {"keyboard": keyboard, "delete": delete, "swap": swap, "insert": insert, "double": double, "phonetic": phonetic, "space": space, "single": single, "compound": compound, "query": query,
+             "keyboard_letters": keyboard_letters, "delete_doubled": delete_doubled, "single_simple": single_simple}

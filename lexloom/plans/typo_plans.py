@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import typos
 from lexloom.operators import generate
-from lexloom.plans.common import MODIFIERS, SEED, SQL_PART, TEMPLATES, part_words, sql_rng
+from lexloom.plans.common import MODIFIERS, SEED, SQL_PART, TEMPLATES, part_words, sql_rng, word_pairs
 from lexloom.session import table
 
+EVERYDAY = ["where to buy {w}", "{w} near me", "best {w} today"]
+QUOTAS = {"brand": 40, "product": 25, "query": 30, "model": 5}
+
 
 def _word_typo(name):
     def run(s, d):
@@ -27,7 +30,7 @@ def _catalog(s, d):
     return c.filter(F.size(w) >= 2).select(F.lower(F.get(w, F.lit(0))).alias("brand"), F.lower(F.get(w, F.lit(1))).alias("product")).distinct()
 
 
-QUERIES = {f"typo_{k}": _word_typo(k) for k in ["keyboard", "delete", "swap", "insert", "double", "phonetic", "space", "single", "compound", "query"]} | {
+QUERIES = {f"typo_{k}": _word_typo(k) for k in ["keyboard", "delete", "swap", "insert", "double", "phonetic", "space", "single", "compound", "query", "keyboard_letters", "delete_doubled", "single_simple"]} | {
     "typo_omit": lambda s, d: part_words(s, d).select("id", typos.omit(F.col("w")).alias("typo")),
     "gen_brand_product": lambda s, d: generate.brand_products(_catalog(s, d), TEMPLATES, SEED),
     "gen_generic": lambda s, d: generate.generic(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("q")), MODIFIERS, SEED),
@@ -36,6 +39,16 @@ QUERIES = {f"typo_{k}": _word_typo(k) for k in ["keyboard", "delete", "swap", "i
     "gen_mismatch": lambda s, d: generate.mismatches(s, table(s, d, "part").select(F.col("p_name").alias("product")).distinct()),
     "gen_identity": lambda s, d: generate.identities(_catalog(s, d), TEMPLATES),
     "gen_aug": lambda s, d: generate.augment(part_words(s, d).select("id", F.col("w").alias("word")), SEED),
+    "typo_keyboard_inner": lambda s, d: part_words(s, d).select("id", typos.keyboard_letters(F.col("w"), SEED, F.col("id"), inner=True).alias("typo")),
+    "gen_space": lambda s, d: generate.space_errors(part_words(s, d), SEED),
+    "gen_phonetic": lambda s, d: generate.phonetic_typos(part_words(s, d), SEED),
+    "gen_vocab": lambda s, d: generate.vocabulary_typos(part_words(s, d).select(F.col("w").alias("word")).distinct(), SEED),
+    "gen_curated": lambda s, d: generate.curated(word_pairs(s, d), _catalog(s, d), SEED),
+    "gen_everyday": lambda s, d: generate.everyday(part_words(s, d).select(F.col("w").alias("word")).distinct(), EVERYDAY, SEED),
+    "gen_external": lambda s, d: generate.external(word_pairs(s, d)),
+    "gen_combined": lambda s, d: generate.combined([generate.identities(_catalog(s, d), TEMPLATES), generate.brand_products(_catalog(s, d), TEMPLATES, SEED), generate.prices(_catalog(s, d), SEED)]).groupBy("category").agg(F.count(F.lit(1)).alias("n")),
+    "gen_quota": lambda s, d: generate.quota_split(part_words(s, d), "id", QUOTAS, SEED).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
+    "grouped_products": lambda s, d: table(s, d, "brand_catalog").filter("canonical is not null").groupBy(F.coalesce("category", F.lit("other")).alias("category")).agg(F.countDistinct("canonical").alias("n"), F.min("canonical").alias("first")),
     "gen_oversample": lambda s, d: generate.oversampled(table(s, d, "eval_v3"), {"price_typo": 2, "unit_typo": 3, "hard_negative": 5}).groupBy("category").agg(F.count(F.lit(1)).alias("n")),
 }
 
@@ -98,25 +111,51 @@ def _single(w: str, source: str) -> str:
     return f"(with m as (select id, q, w, {made} from (select id, q, {w} as w from {source})) select id, q, w, list_filter([{draws}], lambda t: t is not null and t <> w and length(t) >= 2)[1] as typo from m)"
 
 
-SQL = {f"typo_{k}": f"select id, {_sql(k, 'w')} as typo from {SQL_PART}" for k in ["keyboard", "delete", "swap", "insert", "double", "omit", "phonetic"]} | {
-    "typo_space": f"""
+def _query(source: str) -> str:
+    """The query typo over a source of ``id, q``; gives ``id, q, typo``."""
+    return f"""
+with t as (select id, q, list_filter(string_split(q, ' '), lambda w: w <> '') as a from {source}),
+f as (select *, list_filter(range(1, len(a) + 1), lambda i: regexp_full_match(a[i], '[A-Za-z]{{3,}}')) as fit from t),
+p as (select *, fit[{sql_rng('q.word', 'greatest(len(fit), 1)')} + 1] as i from f),
+s as (select id, typo from {_single('w', "(select id, q, a[i] as w from p)")})
+select p.id as id, q, case when len(fit) > 0 and s.typo is not null and array_to_string(list_concat(a[1:i - 1], [s.typo], a[i + 1:]), ' ') <> q
+  then array_to_string(list_concat(a[1:i - 1], [s.typo], a[i + 1:]), ' ') end as typo from p join s using (id)"""
+
+
+def _keys(edge: int) -> str:
+    at = f"({sql_rng('k.at', f'greatest(length(w) - {2 * edge}, 1)')} + {edge})"
+    near = _case(_LETTERS, f"lower(w[{at} + 1])")
+    return f"case when length(w) >= {2 + edge} and length({near}) > 0 then substr(w, 1, {at}) || ({near})[{sql_rng('k.key', f'length({near})')} + 1] || substr(w, {at} + 2) end"
+
+
+_GENERIC = f"(select id, ({MODIFIERS})[{sql_rng('modifier', len(MODIFIERS))} + 1] || ' ' || q as q from {SQL_PART})"
+_BRANDED = f"""(with c as (select distinct lower(string_split(canonical, ' ')[1]) as b, lower(string_split(canonical, ' ')[2]) as p from brand_catalog where len(string_split(canonical, ' ')) >= 2),
+  k as (select b, p, concat_ws(' ', b, p, k) as id from c, (values (1), (2), (3)) t(k)) select id, replace(replace(({TEMPLATES})[{sql_rng('template', len(TEMPLATES))} + 1], '{{b}}', b), '{{p}}', p) as q from k)"""
+_SPACE = f"""
 with t as (select id, list_filter(string_split(q, ' '), lambda w: w <> '') as a from {SQL_PART}),
 r as (select *, {sql_rng('b.mode', 2)} as mode, {sql_rng('b.join', 'greatest(len(a) - 1, 1)')} + 1 as i, list_filter(range(1, len(a) + 1), lambda k: length(a[k]) >= 6) as long from t),
 u as (select *, long[{sql_rng('b.word', 'greatest(len(long), 1)')} + 1] as k from r),
 v as (select *, a[k] as word, {sql_rng('b.cut', 'greatest(length(a[k]) - 3, 1)')} + 2 as pos from u)
 select id, case when len(a) < 2 then null when mode = 0 then array_to_string(list_concat(a[1:i - 1], [a[i] || a[i + 1]], a[i + 2:]), ' ')
-  when len(long) > 0 then array_to_string(list_concat(a[1:k - 1], [substr(word, 1, pos) || ' ' || substr(word, pos + 1)], a[k + 1:]), ' ') end as typo from v""",
+  when len(long) > 0 then array_to_string(list_concat(a[1:k - 1], [substr(word, 1, pos) || ' ' || substr(word, pos + 1)], a[k + 1:]), ' ') end as typo from v"""
+
+SQL = {f"typo_{k}": f"select id, {_sql(k, 'w')} as typo from {SQL_PART}" for k in ["keyboard", "delete", "swap", "insert", "double", "omit", "phonetic"]} | {
+    "typo_space": _SPACE,
     "typo_single": f"select id, typo from {_single('w', SQL_PART)}",
     "typo_compound": f"""
 with f as (select id, w, typo as x from {_single('w', SQL_PART)}), s as (select id, w, x, coalesce({_sql('delete', 'x', SEED + 1)}, {_sql('swap', 'x', SEED + 1)}) as y from f)
 select id, case when length(w) >= 4 then case when y is null or y = x then x else y end end as typo from s""",
-    "typo_query": f"""
-with t as (select id, q, list_filter(string_split(q, ' '), lambda w: w <> '') as a from {SQL_PART}),
-f as (select *, list_filter(range(1, len(a) + 1), lambda i: regexp_full_match(a[i], '[A-Za-z]{{3,}}')) as fit from t),
-p as (select *, fit[{sql_rng('q.word', 'greatest(len(fit), 1)')} + 1] as i from f),
-s as (select id, typo from {_single('w', "(select id, q, a[i] as w from p)")})
-select p.id, case when len(fit) > 0 and s.typo is not null and array_to_string(list_concat(a[1:i - 1], [s.typo], a[i + 1:]), ' ') <> q
-  then array_to_string(list_concat(a[1:i - 1], [s.typo], a[i + 1:]), ' ') end as typo from p join s using (id)""",
+    "typo_query": f"select id, typo from ({_query(SQL_PART)})",
+    "gen_generic": f"select id, typo as input_text, q as target_text, 'generic_product_typo' as category from ({_query(_GENERIC)}) where typo is not null",
+    "gen_brand_product": f"select distinct typo as input_text, q as target_text, 'ecom_query_typo' as category from ({_query(_BRANDED)}) where typo is not null",
+    "gen_space": f"select typo as input_text, q as target_text, 'space_error' as category from ({_SPACE}) join {SQL_PART} using (id) where typo is not null and typo <> q",
+    "gen_vocab": f"select typo as input_text, w as target_text, 'vocab_typo' as category from {_single('w', "(select distinct w as id, w as q, w from " + SQL_PART + " where regexp_full_match(w, '[a-z]{4,15}'))")} where typo is not null",
+    "gen_quota": f"select case when r < 40 then 'brand' when r < 65 then 'product' when r < 95 then 'query' else 'model' end as kind, count(*) as n from (select {sql_rng('quota', 100)} as r from {SQL_PART}) group by kind",
+    "grouped_products": "select coalesce(category, 'other') as category, count(distinct canonical) as n, min(canonical) as first from brand_catalog where canonical is not null group by 1",
+    "typo_keyboard_letters": f"select id, {_keys(0)} as typo from {SQL_PART}",
+    "typo_keyboard_inner": f"select id, {_keys(1)} as typo from {SQL_PART}",
+    "typo_delete_doubled": f"select id, case when length(w) >= 4 then coalesce({_sql('omit', 'w')}, {_sql('delete', 'w')}) end as typo from {SQL_PART}",
+    "typo_single_simple": f"select id, coalesce(case when r < 3 then {_keys(0)} when r < 5 then {_sql('swap', 'w')} when r < 7 then {_sql('delete', 'w')} when r < 8 then {_sql('double', 'w')} else {_sql('insert', 'w')} end, {_keys(0)}) as typo from (select *, {sql_rng('e', 9)} as r from {SQL_PART})",
     "gen_identity": "with c as (select distinct lower(string_split(canonical, ' ')[1]) as b, lower(string_split(canonical, ' ')[2]) as p from brand_catalog where len(string_split(canonical, ' ')) >= 2) "
     + " union ".join(f"select {x} as input_text, {x} as target_text, 'identity_query' as category from c" for x in [t.replace("{b}", "' || b || '").replace("{p}", "' || p || '").join("''") for t in TEMPLATES]),
     "gen_oversample": "select category, count(*) * case category when 'price_typo' then 2 when 'unit_typo' then 3 when 'hard_negative' then 5 else 1 end as n from eval_v3 group by category",
