@@ -17,6 +17,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import let
 from lexloom.operators.skew import join_back
 from lexloom.session import cut
 
@@ -108,12 +109,10 @@ def mapped_text(c: Column) -> Column:
 
     Values of plain ASCII, nearly all of them, pass with one pattern test.
     """
-    x = F.regexp_replace(c, f"[{INVISIBLE}]", "")
-    x = F.regexp_replace(x, f"[{ODD_SPACE}]", " ")
-    x = F.translate(x, *fullwidth_table())
-    x = _translate(_join_letters(x), PHONETIC)
-    x = _latin_inside(_compose(x))
-    return F.when(c.rlike(r"[^\x09\x0a\x0d\x20-\x7e]"), x).otherwise(c)
+    x = F.regexp_replace(F.regexp_replace(c, f"[{INVISIBLE}]", ""), f"[{ODD_SPACE}]", " ")
+    # each step is bound once: written out, the steps would be repeated inside one another
+    odd = let(F.translate(x, *fullwidth_table()), lambda a: let(_translate(_join_letters(a), PHONETIC), lambda b: let(_compose(b), _latin_inside)))
+    return F.when(c.rlike(r"[^\x09\x0a\x0d\x20-\x7e]"), odd).otherwise(c)
 
 
 def words_of(c: Column) -> Column:
@@ -150,9 +149,10 @@ def consistent_form(df: DataFrame, id_col: str, text_col: str, only_odd: bool =
     canonical and class_rows are NULL and odd is false. Repeated rows and ids give one row each. Other columns of
     ``df`` are ignored, whatever their names.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("value"), one_space(mapped_text(F.col(text_col))).alias("mapped"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("value"), mapped_text(F.col(text_col)).alias("mapped"))
+    rows = rows.select("id", "value", one_space(F.col("mapped")).alias("mapped"), F.coalesce(F.col("mapped") != F.col("value"), F.lit(False)).alias("odd"))
     classes = cut(canonical_classes(rows))
-    rows = rows.withColumns({"odd": odd_text(F.col("value")), "class_key": F.collate("mapped", COLLATION)})
+    rows = rows.withColumn("class_key", F.collate("mapped", COLLATION))
     return join_back(rows.filter("odd") if only_odd else rows, classes, "class_key", "class_rows", df.count(), ["canonical", "class_rows"]).drop("class_key")
 
 
