@@ -119,6 +119,8 @@ def quota_sample(df: DataFrame, id_col: str, category_col: str, plan: DataFrame,
     names = sorted(wanted)
     available = {s: 0 for s in names} | signature_counts(df, category_col, names)
     size = sum(available.values()) * fraction[0] // fraction[1]
+    if OTHER in available:  # only what the planned categories cannot give
+        available[OTHER] = max(0, min(available[OTHER], size - sum(available[c] for c in names)))
     share, floors = {c: v[0] for c, v in wanted.items()}, {c: v[1] for c, v in wanted.items()}
     start = random_start(available, floors, size, random.Random(seed))
     take = swap_repair(start, available, share, floors, size)

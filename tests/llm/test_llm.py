@@ -137,6 +137,7 @@ def test_sample_size_floors_and_report(spark):
     plan = spark.createDataFrame([("Big", 0.5, 1), ("rare", 0.3, 5), ("none", 0.2, 3)], "category string, target_share double, min_rows int")
     sample, report = quota_sample.quota_sample(df, "id", "category", plan)
     assert sample.count() == 800 and sample.select("example_id").distinct().count() == 800
+    assert sample.filter("category is null").count() == 0
     got = {r["category"]: r for r in report.collect()}
     assert got["rare"]["taken"] == 20 and got["rare"]["short"] and got["none"]["short"] and not got["big"]["short"]
     empty, rep = quota_sample.quota_sample(df.limit(0), "id", "category", plan)
