@@ -44,26 +44,36 @@ def placeholders(words: Column, fixed: list[str]) -> Column:
 
 
 def windows(df: DataFrame, id_col: str, text_col: str, fixed: list[str]) -> DataFrame:
-    """``id, pos, template, literal``: the hashes of each window of the text, as template and as it stands."""
-    rows = df.select(F.col(id_col).alias("id"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    rows = rows.filter(F.size("w") >= WINDOW).withColumn("t", placeholders(F.col("w"), fixed))
+    """``id, pos, template, words``: the hash of each window's template; ``words`` are the hashes of the whole text's words.
+
+    Words are hashed once, a window then is a slice of numbers; whether a word is a placeholder stands in the lowest bit.
+    """
+    rows = df.select(F.col(id_col).alias("id"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).filter(F.size("w") >= WINDOW)
+    rows = rows.select(
+        "id", F.transform("w", lambda x: F.xxhash64(x)).alias("words"),
+        F.transform(placeholders(F.col("w"), fixed), lambda x: F.shiftleft(F.xxhash64(x), 1).bitwiseOR(x.startswith("<").cast("bigint"))).alias("t"),
+    )
 
     def at(i: Column) -> Column:
-        t, w = F.slice(F.col("t"), i, F.lit(WINDOW)), F.slice(F.col("w"), i, F.lit(WINDOW))
-        named = F.size(F.filter(t, lambda x: x.startswith("<")))
-        literal = F.xxhash64(w)
-        return F.struct(i.alias("pos"), F.when(named <= WINDOW - LEAST_FIXED, F.xxhash64(t)).otherwise(literal).alias("template"), literal.alias("literal"))
+        t = F.slice(F.col("t"), i, F.lit(WINDOW))
+        named = F.size(F.filter(t, lambda x: x.bitwiseAND(F.lit(1)) == 1))
+        return F.struct(i.alias("pos"), F.when(named <= WINDOW - LEAST_FIXED, F.xxhash64(t)).otherwise(literal(F.col("words"), i)).alias("template"))
+
+    return rows.select("id", "words", F.inline(F.transform(F.sequence(F.lit(1), F.size("words") - F.lit(WINDOW - 1)), at)))
+
 
-    return rows.select("id", F.inline(F.transform(F.sequence(F.lit(1), F.size("w") - F.lit(WINDOW - 1)), at)))
+def literal(words: Column, pos: Column) -> Column:
+    """The hash of a window as it stands."""
+    return F.xxhash64(F.slice(words, pos, F.lit(WINDOW)))
 
 
 def template_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """``doc_id, pos, item_id, item_pos, verbatim``: document windows whose template is that of a held-out window."""
     fixed = template_words(items, text_col)
-    held = cut(windows(items, item_id, text_col, fixed).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "template", F.col("literal").alias("own")))
+    held = cut(windows(items, item_id, text_col, fixed).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "template", literal(F.col("words"), F.col("pos")).alias("own")))
     small = held.count() <= BROADCAST_WINDOWS
     found = windows(docs, doc_id, text_col, fixed).join(F.broadcast(held) if small else held, "template")
-    return found.select(F.col("id").alias("doc_id"), "pos", "item_id", "item_pos", (F.col("literal") == F.col("own")).alias("verbatim"))
+    return found.select(F.col("id").alias("doc_id"), "pos", "item_id", "item_pos", (literal(F.col("words"), F.col("pos")) == F.col("own")).alias("verbatim"))
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
