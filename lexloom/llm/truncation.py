@@ -206,7 +206,10 @@ def learn(df: DataFrame, id_col: str, text_col: str, source_col: str, limits: Da
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text"))
     usable = rows.filter(F.trim("text") != "").filter(~F.col("text").rlike(r"[…�]\s*$"))
     free = usable.join(F.broadcast(limits.filter("unit = 'chars'").select("source", "length")), (usable["source"] == limits["source"]) & (F.length("text") == limits["length"]), "left_anti")
-    drawn = free.orderBy(F.xxhash64(F.lit("truncation"), F.col("id").cast("string"))).limit(SAMPLE_TEXTS)
+    # rows are thinned by their hash first, so that no task orders more than a little over the sample
+    order = F.pmod(F.xxhash64(F.lit("truncation"), F.col("id").cast("string")), F.lit(2**31))
+    below = int(2**31 * min(1.0, 1.5 * SAMPLE_TEXTS / max(1, df.count())))
+    drawn = free.filter(order < below).orderBy(order, "id").limit(SAMPLE_TEXTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
