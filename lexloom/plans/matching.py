@@ -89,7 +89,7 @@ QUERIES = {
     "fuzzy_lookup_ed1": lambda s, d: _fuzzy(s, d).select("word", "key", F.col("distance").cast("bigint").alias("distance")),
     "similarity_band_join": _band,
     "mine_typos": lambda s, d: cleaning.mine_typos(table(s, d, "documents").filter("text is not null"), F.col("text")).withColumn("distance", F.col("distance").cast("bigint")),
-    "protect_lookup": lambda s, d: protect.lookup(_requests(s, d).select(F.explode(tokens(F.col("query"))).alias("t")).filter("t rlike '^[ -~]+$'"), "t", protect.entity_table(s)).withColumn("distance", F.col("distance").cast("bigint")),
+    "protect_lookup": lambda s, d: protect.lookup(table(s, d, "correction_requests").select(F.explode(tokens(F.col("query"))).alias("t")), "t", protect.entity_table(s)).withColumn("distance", F.col("distance").cast("bigint")),
     "protected_statistics": lambda s, d: protect.statistics(s),
     "lookup_default": _fill,
     "anti_seen": lambda s, d: table(s, d, "eval_queries").select("id").join(table(s, d, "results").filter("model = 'chat-2b'").select("id").distinct(), "id", "left_anti"),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lexloom.functions import text, typos
 from lexloom.operators import cleaning, correct, masking, matching, protect
 from lexloom.operators.skew import join_back
+from lexloom.plans import correction as correction_plans
+from lexloom.plans import matching as matching_plans
 from lexloom.plans.pairs import _lines
 from lexloom.sources import readers, sinks
 from lexloom.streaming import streams
@@ -184,3 +186,25 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     got = {r["t"]: (r["masked"], r["restored"]) for r in spark.table("masked_rows").collect()}
     assert got == {"a samsung tv": ("a <<M0>> tv", "a Samsung tv"), "samsung galaxy": ("<<M0>>", "Samsung Galaxy"), None: (None, None)}
+
+
+def test_protect_lookup_takes_every_token(spark, tmp_path):
+    queries = ["€ €! €? 50 £", "NESTLÉ nestlé Nestle nestlée", "häagen-dazs HÄAGEN-DAZ", "ТВ usb İkea", "", None]
+    spark.createDataFrame(list(enumerate(queries)), "request_id long, query string").write.parquet(str(tmp_path / "correction_requests.parquet"))
+
+    def near(a, b):
+        """At most one letter wrong, missing or extra: what is left when the equal start and end are taken off."""
+        i = 0
+        while i < min(len(a), len(b)) and a[i] == b[i]:
+            i += 1
+        return a[i:] == b[i:] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :]
+
+    kinds = {e: k for k in reversed(protect.ENTITIES) for e in protect.ENTITIES[k]}
+    want = set()
+    for t in {t for q in queries if q for t in q.split()}:
+        found = sorted((int(t.upper() != e), e) for e in kinds if near(t.upper(), e))
+        if found:
+            want.add((t, found[0][1], kinds[found[0][1]], found[0][0]))
+    got = {tuple(r) for r in matching_plans.QUERIES["protect_lookup"](spark, str(tmp_path)).select("token", "entity", "category", "distance").collect()}
+    assert got == want
+    assert {("€", "€", "currency", 0), ("nestlé", "NESTLÉ", "brand", 0), ("häagen-dazs", "HÄAGEN-DAZS", "brand", 0)} <= got
