@@ -27,6 +27,10 @@ def _fallbacks(s):
 
 
 def _requests(s, d):
+    return table(s, d, "correction_requests").select(F.col("request_id").alias("id"), F.col("query").alias("text"))
+
+
+def _labelled(s, d):
     return table(s, d, "eval_queries").select("id", F.col("query").alias("text"))
 
 
@@ -40,7 +44,8 @@ QUERIES = {
     "postprocess_validate": lambda s, d: _texts(s, VALIDATE, "o", "m").select("id", correct.postprocess(F.col("o"), F.col("m"), F.array(*[F.lit(x) for x in PROTECTED])).alias("final")),
     "merge_fallback": lambda s, d: _texts(s, [(1, "chep hedphones", "cheap hedfones"), (2, "red tv", "red tv")], "o", "m").select("id", correct.merge_fallback(F.col("m"), F.col("o"), F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("corrected"), F.lit("auto_correct").alias("action")) for a, b in FALLBACK])).alias("merged")),
     "confidence_gate": lambda s, d: table(s, d, "results").filter("error = ''").groupBy("model").agg(F.count_if(correct.confident(F.col("query"), F.col("corrected"))).alias("confident"), F.count(F.lit(1)).alias("n")),
-    "model_stage": lambda s, d: correct.dictionary_model(_requests(s, d), word_pairs(s, d)).select("id", "corrected"),
+    "model_stage": lambda s, d: correct.dictionary_model(_labelled(s, d), word_pairs(s, d)).select("id", "corrected"),
+    "model_stage_requests": lambda s, d: correct.dictionary_model(_requests(s, d), word_pairs(s, d)).select("id", "corrected"),
     "v3_pipeline": lambda s, d: correct.four_stages(_requests(s, d), word_pairs(s, d), _fallbacks(s), F.array(*[F.lit(x) for x in PROTECTED])),
     "response_rows": lambda s, d: correct.response(correct.dictionary_model(_requests(s, d), word_pairs(s, d)).withColumn("m", F.lit("dictionary")), "text", "corrected", "m").select("id", "corrected_query", "changed", "confidence", F.array_join("suggestions", ";").alias("suggestions")),
     "model_routing": lambda s, d: table(s, d, "correction_requests").select("request_id", correct.resolve_model(F.col("model")).alias("model_used"), correct.skips_masking(F.col("model"), True).alias("skip")),

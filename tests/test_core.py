@@ -208,3 +208,21 @@ def test_protect_lookup_takes_every_token(spark, tmp_path):
     got = {tuple(r) for r in matching_plans.QUERIES["protect_lookup"](spark, str(tmp_path)).select("token", "entity", "category", "distance").collect()}
     assert got == want
     assert {("€", "€", "currency", 0), ("nestlé", "NESTLÉ", "brand", 0), ("häagen-dazs", "HÄAGEN-DAZS", "brand", 0)} <= got
+
+
+def test_correction_queries_take_what_was_typed(spark, tmp_path):
+    labelled = [("q1", "blak shoos", "black shoes"), ("q2", "usb cabel", "usb cable")]
+    spark.createDataFrame(labelled, "id string, query string, expected string").write.parquet(str(tmp_path / "eval_queries.parquet"))
+    typed = [None, "", "  ", "Blak  shoos", "blak shoos", "купить чехол", "usb cabel", "ｂｌａｋ shoos"]
+    spark.createDataFrame(list(enumerate(typed)), "request_id long, query string").write.parquet(str(tmp_path / "correction_requests.parquet"))
+
+    def run(name):
+        rows = correction_plans.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(r["id"] for r in rows) == list(range(len(typed))), name
+        return {r["id"]: r for r in rows}
+
+    got = {i: (r["corrected"], r["source"]) for i, r in run("v3_pipeline").items()}
+    assert got == {0: (None, "none"), 1: ("", "none"), 2: ("  ", "none"), 3: ("black shoes", "model"), 4: ("black shoes", "model"), 5: ("купить чехол", "none"), 6: ("usb cable", "model"), 7: ("black shoes", "model")}
+    assert {i: r["corrected"] for i, r in run("model_stage_requests").items()} == {0: None, 1: "", 2: "  ", 3: "black shoes", 4: "black shoes", 5: "купить чехол", 6: "usb cable", 7: "ｂｌａｋ shoes"}
+    assert {i for i, r in run("response_rows").items() if r["changed"]} == {3, 4, 6, 7}
+    assert (run("protect_query")[6]["masked"], run("protect_query")[0]["masked"]) == ("[ABBREVIATION_0] cabel", None)
