@@ -30,6 +30,15 @@ def _requests(s, d):
     return table(s, d, "correction_requests").select(F.col("request_id").alias("id"), F.col("query").alias("text"))
 
 
+def _masked(s, d, mask):
+    return _requests(s, d).withColumn("m", mask(F.col("text"))).select("id", "m.masked", F.array_join("m.values", ";").alias("vals"))
+
+
+def _results(s, d):
+    """``id, o, m``: what was asked and what a model made of it, failed calls included."""
+    return table(s, d, "results").select(F.col("result_id").alias("id"), F.col("query").alias("o"), F.col("corrected").alias("m"))
+
+
 def _labelled(s, d):
     return table(s, d, "eval_queries").select("id", F.col("query").alias("text"))
 
@@ -38,7 +47,13 @@ QUERIES = {
     "unit_mask": lambda s, d: _texts(s, TEXTS, "q").withColumn("m", protect.mask_units(F.col("q"))).select("id", "m.masked", F.array_join("m.values", ";").alias("vals")),
     "price_mask": lambda s, d: _texts(s, TEXTS, "q").withColumn("m", protect.mask_prices(F.col("q"))).select("id", "m.masked", F.array_join("m.values", ";").alias("vals")),
     "price_mask_v1": lambda s, d: _texts(s, TEXTS, "q").withColumn("m", protect.mask_prices_v1(F.col("q"))).select("id", "m.masked", F.array_join("m.values", ";").alias("vals")),
-    "prefix_match": lambda s, d: _texts(s, TEXTS, "q").select("id", F.posexplode(tokens(F.col("q"))).alias("i", "t")).withColumn("p", protect.protected_prefix(F.col("t"))).filter("p is not null").select("id", "i", "p.entity", "p.category", "p.rest"),
+    "prefix_match": lambda s, d: _requests(s, d).select("id", F.posexplode(tokens(F.col("text"))).alias("i", "t")).withColumn("p", protect.protected_prefix(F.col("t"))).filter("p is not null").select("id", "i", "p.entity", "p.category", "p.rest"),
+    "unit_mask_requests": lambda s, d: _masked(s, d, protect.mask_units),
+    "price_mask_requests": lambda s, d: _masked(s, d, protect.mask_prices),
+    "price_mask_v1_requests": lambda s, d: _masked(s, d, protect.mask_prices_v1),
+    "merge_brand_results": lambda s, d: _results(s, d).select("id", protect.merge_corrections(F.col("o"), F.col("m")).alias("merged")),
+    "postprocess_validate_results": lambda s, d: _results(s, d).select("id", correct.postprocess(F.col("o"), F.col("m"), F.array(*[F.lit(x) for x in PROTECTED])).alias("final")),
+    "merge_fallback_results": lambda s, d: _results(s, d).select("id", correct.merge_fallback(F.col("m"), F.col("o"), F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("corrected"), F.lit("auto_correct").alias("action")) for a, b in FALLBACK])).alias("merged")),
     "protect_query": lambda s, d: _requests(s, d).withColumn("p", protect.protect(F.col("text"))).select("id", "p.masked", F.size("p.spans").alias("n")),
     "merge_brand": lambda s, d: _texts(s, MERGES, "o", "m").select("id", protect.merge_corrections(F.col("o"), F.col("m")).alias("merged")),
     "postprocess_validate": lambda s, d: _texts(s, VALIDATE, "o", "m").select("id", correct.postprocess(F.col("o"), F.col("m"), F.array(*[F.lit(x) for x in PROTECTED])).alias("final")),

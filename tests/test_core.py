@@ -3,6 +3,7 @@
 import difflib
 import json
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -226,3 +227,35 @@ def test_correction_queries_take_what_was_typed(spark, tmp_path):
     assert {i: r["corrected"] for i, r in run("model_stage_requests").items()} == {0: None, 1: "", 2: "  ", 3: "black shoes", 4: "black shoes", 5: "купить чехол", 6: "usb cable", 7: "ｂｌａｋ shoes"}
     assert {i for i, r in run("response_rows").items() if r["changed"]} == {3, 4, 6, 7}
     assert (run("protect_query")[6]["masked"], run("protect_query")[0]["masked"]) == ("[ABBREVIATION_0] cabel", None)
+
+
+def test_whole_tables_are_masked_and_merged(spark, tmp_path):
+    """The constant rows of the small queries as tables: the forms over whole tables give what the statements list."""
+    typed = [*correction_plans.TEXTS, (90, None), (91, "nestlébar €50 h&mdress flat")]
+    spark.createDataFrame(typed, "request_id long, query string").write.parquet(str(tmp_path / "correction_requests.parquet"))
+
+    def rows(name):
+        return {r["id"]: tuple(r)[1:] for r in correction_plans.QUERIES[name](spark, str(tmp_path)).collect()}
+
+    con = duckdb.connect()
+    for name in ("unit_mask", "price_mask", "price_mask_v1"):
+        want = {r[0]: r[1:] for r in con.execute(correction_plans.SQL[name]).fetchall()}
+        got = rows(name + "_requests")
+        assert set(got) == {i for i, _ in typed} and {i: got[i] for i in want} == want, name
+        assert got[90][0] is None
+    assert rows("price_mask_requests")[91] == ("nestlébar [PRICE_0] h&mdress flat", "€50")
+    for name, texts in (("merge_brand", correction_plans.MERGES), ("postprocess_validate", correction_plans.VALIDATE)):
+        spark.createDataFrame(texts, "result_id long, query string, corrected string").write.mode("overwrite").parquet(str(tmp_path / "results.parquet"))
+        assert rows(name + "_results") == {r[0]: r[1:] for r in con.execute(correction_plans.SQL[name]).fetchall()}
+    spark.createDataFrame([(1, "chep hedphones", "cheap hedfones"), (2, "red tv", "red tv"), (3, "cabel", "")], "result_id long, query string, corrected string").write.mode("overwrite").parquet(str(tmp_path / "results.parquet"))
+    assert rows("merge_fallback_results") == {1: ("cheap headphones",), 2: ("red tv",), 3: ("",)}
+
+    kinds = {e: k for k in reversed(protect.ENTITIES) for e in protect.ENTITIES[k]}
+    want = set()
+    for i, q in typed:
+        for k, t in enumerate((q or "").split()):
+            n = next((n for n in range(len(t), 0, -1) if t[:n].upper() in kinds), 0)
+            if n:
+                want.add((i, k, t[:n].upper(), kinds[t[:n].upper()], t[n:]))
+    got = {tuple(r) for r in correction_plans.QUERIES["prefix_match"](spark, str(tmp_path)).collect()}
+    assert got == want and (91, 0, "NESTLÉ", "brand", "bar") in got
