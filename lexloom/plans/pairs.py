@@ -30,6 +30,12 @@ def _identity():
     return is_identity_label(F.col("category"))
 
 
+def _shared(s, d, operator, part, of):
+    """The target in proportion to the table, as 2000 and 2900 are to the 3000 rows of sf0.01."""
+    e = _examples(s, d)
+    return operator(e, "ord", _identity(), e.count() * part // of, SEED).select("ord")
+
+
 def _split(s, d):
     e = _examples(s, d)
     return cleaning.split_head(e, "ord", e.count() // 20, SEED)
@@ -53,6 +59,8 @@ QUERIES = {
     "balance_identity": lambda s, d: cleaning.balance(_examples(s, d), "ord", _identity(), 2000, SEED).select("ord"),
     "trim_ratio": lambda s, d: cleaning.trim_identities(_examples(s, d), "ord", _identity(), 0.05, SEED).select("ord"),
     "trim_target": lambda s, d: cleaning.trim_to(_examples(s, d), "ord", _identity(), 2900, SEED).select("ord"),
+    "balance_identity_share": lambda s, d: _shared(s, d, cleaning.balance, 2, 3),
+    "trim_target_share": lambda s, d: _shared(s, d, cleaning.trim_to, 29, 30),
     "split_eval": lambda s, d: _split(s, d)[1].select("ord"),
     "train_minus_eval": lambda s, d: _split(s, d)[0].select("ord"),
     "split_leakage": lambda s, d: cleaning.leakage(*_split(s, d)),

@@ -14,6 +14,7 @@ from lexloom.operators import cleaning, correct, masking, matching, protect
 from lexloom.operators.skew import join_back
 from lexloom.plans import correction as correction_plans
 from lexloom.plans import matching as matching_plans
+from lexloom.plans import pairs as pairs_plans
 from lexloom.plans.pairs import _lines
 from lexloom.sources import readers, sinks
 from lexloom.streaming import streams
@@ -259,3 +260,12 @@ def test_whole_tables_are_masked_and_merged(spark, tmp_path):
                 want.add((i, k, t[:n].upper(), kinds[t[:n].upper()], t[n:]))
     got = {tuple(r) for r in correction_plans.QUERIES["prefix_match"](spark, str(tmp_path)).collect()}
     assert got == want and (91, 0, "NESTLÉ", "brand", "bar") in got
+
+
+def test_targets_grow_with_the_table(spark, tmp_path):
+    rows = spark.range(6000).selectExpr("id as example_id", "concat('a', id) as input_text", "concat('b', id) as target_text", "if(id < 2100, 'identity_x', 'typo') as category")
+    rows.write.parquet(str(tmp_path / "eval_v3.parquet"))
+    got = {n: [r["ord"] for r in pairs_plans.QUERIES[n](spark, str(tmp_path)).collect()] for n in ("balance_identity_share", "trim_target_share")}
+    assert len(set(got["balance_identity_share"])) == len(got["balance_identity_share"]) == 4000
+    assert set(range(2100)) <= set(got["balance_identity_share"])
+    assert len(set(got["trim_target_share"])) == 5800 and set(range(2100, 6000)) <= set(got["trim_target_share"])
