@@ -21,17 +21,15 @@ NAME_ITEMS = 3
 LEAST_FIXED = 6
 #: Held-out windows up to this number are broadcast (24 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
-#: Template words taken into the plan, the most used first; any other word is a name, on both sides alike.
-TEMPLATE_WORDS = 4000
 # Unit words.
 UNITS = ["mm", "cm", "m", "km", "inch", "inches", "ft", "g", "kg", "gram", "grams", "ml", "l", "litre", "litres", "w", "watt", "v", "gb", "tb", "hz", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "usd", "eur", "gbp"]
 
 
 def template_words(items: DataFrame, text_col: str) -> list[str]:
-    """Words of the templates: those that several held-out items share, at most ``TEMPLATE_WORDS`` of them."""
+    """Words of the templates: all that several held-out items share."""
     per_item = items.select(F.explode(F.array_distinct(words_of(F.col(text_col)))).alias("w"))
     counts = per_item.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= NAME_ITEMS)
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(TEMPLATE_WORDS).collect()]
+    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").collect()]
 
 
 def placeholders(words: Column, fixed: list[str]) -> Column:

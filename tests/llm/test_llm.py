@@ -341,3 +341,12 @@ def test_truncation_on_planted_cuts(spark):
     assert len(got & cut) / len(cut) > 0.95 and len(got & cut) / len(got) > 0.95
     assert not got & {9000, 9001, 9002}
     assert truncation.scored_endings(df.limit(0), "doc", "t", "s").count() == 0
+
+
+def test_every_shared_word_is_a_template_word(spark):
+    words = [f"w{i}x" for i in range(4500)]
+    items = spark.createDataFrame([(i, " ".join(words)) for i in range(3)], "item_id int, text string")
+    assert sorted(leakage.template_words(items, "text")) == sorted(words)
+    docs = spark.createDataFrame([(1, " ".join([*words[4480:4490], "99", *words[4490:]]))], "doc_id int, text string")
+    asked = spark.createDataFrame([(9, " ".join([*words[4480:4490], "7", *words[4490:]]))], "item_id int, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in leakage.reworded_questions(docs, items.union(asked)).collect()] == [(1, 9)]
