@@ -11,9 +11,9 @@ The list is a bounded parameter and travels with the function; the values stay w
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +60,51 @@ def shortened(word: str, edits: int) -> set[str]:
     return out
 
 
+class Automaton:
+    """All places of many names in one pass over a text (goto, fail and output tables)."""
+
+    def __init__(self):
+        self.goto: list[dict[str, int]] = [{}]
+        self.out: list[list] = [[]]
+        self.fail = [0]
+
+    def __len__(self) -> int:
+        return len(self.goto) - 1
+
+    def add_word(self, word: str, value) -> None:
+        at = 0
+        for c in word:
+            if c not in self.goto[at]:
+                self.goto[at][c] = len(self.goto)
+                self.goto.append({})
+                self.out.append([])
+                self.fail.append(0)
+            at = self.goto[at][c]
+        self.out[at] = [value]
+
+    def make_automaton(self) -> None:
+        todo = deque(self.goto[0].values())
+        while todo:
+            at = todo.popleft()
+            for c, to in self.goto[at].items():
+                f = self.fail[at]
+                while f and c not in self.goto[f]:
+                    f = self.fail[f]
+                self.fail[to] = self.goto[f].get(c, 0)
+                self.out[to] = self.out[to] + self.out[self.fail[to]]
+                todo.append(to)
+
+    def iter(self, text: str) -> Iterator[tuple]:
+        """``(end, value)`` of every name that ends at a place, the longest first."""
+        at = 0
+        for end, c in enumerate(text):
+            while at and c not in self.goto[at]:
+                at = self.fail[at]
+            at = self.goto[at].get(c, 0)
+            for value in self.out[at]:
+                yield end, value
+
+
 class CanonicalIndex:
     """The list prepared for matching: automaton, word index and the entries by their words."""
 
@@ -80,7 +125,7 @@ class CanonicalIndex:
                 if words not in self.patterns or rank < (self.patterns[words][1], self.patterns[words][0]):
                     self.patterns[words] = (canonical, len(own))
                 by_squash.setdefault("".join(words), words)
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = Automaton()
         for s, words in by_squash.items():
             if len(s) >= FUZZY_LETTERS:
                 self.automaton.add_word(s, words)

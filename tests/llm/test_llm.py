@@ -3,6 +3,9 @@
 import itertools
 import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -350,3 +353,19 @@ def test_every_shared_word_is_a_template_word(spark):
     docs = spark.createDataFrame([(1, " ".join([*words[4480:4490], "99", *words[4490:]]))], "doc_id int, text string")
     asked = spark.createDataFrame([(9, " ".join([*words[4480:4490], "7", *words[4490:]]))], "item_id int, text string")
     assert [(r["doc_id"], r["item_id"]) for r in leakage.reworded_questions(docs, items.union(asked)).collect()] == [(1, 9)]
+
+
+def test_automaton_finds_every_name_without_other_packages():
+    rng = random.Random(5)
+    for _ in range(200):
+        names = {"".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(8)}
+        t = "".join(rng.choices("abcd", k=30))
+        a = canonical_map.Automaton()
+        for n in names:
+            a.add_word(n, n)
+        a.make_automaton()
+        assert sorted(a.iter(t)) == sorted((i + len(n) - 1, n) for n in names for i in range(len(t)) if t.startswith(n, i))
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; assert 'p1_found' in e.queries()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])
+    broken = "import sys; sys.modules['lexloom.llm.packing'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", broken], capture_output=True, cwd=Path(__file__).parents[2]).returncode != 0
