@@ -58,18 +58,26 @@ select 'eval_v3', example_id from eval_v3
 where input_text is not null and input_text <> '' and {mapped('input_text')} <> input_text
 """
 
-P4_FOUND = f"""
+_P4 = f"""
 with r as (select example_id as id, source, lower(trim(split_name)) as split, {words('input_text')} as iw, list_sort({words('target_text')}) as tw from eval_v3
            where lower(trim(split_name)) in ('train', 'validation', 'test')),
-s as (select id, split, list_sort(case when iw[1] = 'correct' then iw[2:] else iw end) as iw, tw from r),
-n as (select id, split, list_transform(iw, lambda w, i: w || ' ' || (i - list_position(iw, w))) as iw, list_transform(tw, lambda w, i: w || ' ' || (i - list_position(tw, w))) as tw from s),
-p as (select least(a.id, b.id) as example_id_a, greatest(a.id, b.id) as example_id_b,
-        greatest(len(a.iw), len(b.iw)) - len(list_intersect(a.iw, b.iw)) as di, greatest(len(a.tw), len(b.tw)) - len(list_intersect(a.tw, b.tw)) as dt,
-        least(len(a.iw), len(b.iw), len(a.tw), len(b.tw)) as shortest
-      from n a join n b on a.split = 'train' and b.split <> 'train' and abs(len(a.iw) - len(b.iw)) <= 1 and abs(len(a.tw) - len(b.tw)) <= 1)
-select example_id_a, example_id_b from p where (di = 0 and dt = 0) or (shortest >= 5 and di <= 1 and dt <= 1)
+s as (select id, split, source, list_sort(case when iw[1] = 'correct' then iw[2:] else iw end) as iw, tw from r),
+n as (select id, split, source, list_transform(iw, lambda w, i: w || ' ' || (i - list_position(iw, w))) as iw, list_transform(tw, lambda w, i: w || ' ' || (i - list_position(tw, w))) as tw from s),
+m as (select a.id as train_id, b.id as eval_id, greatest(len(a.iw), len(b.iw)) as li, greatest(len(a.tw), len(b.tw)) as lt, len(b.iw) + len(b.tw) as own,
+        len(list_intersect(a.iw, b.iw)) as mi, len(list_intersect(a.tw, b.tw)) as mt, least(len(a.iw), len(b.iw), len(a.tw), len(b.tw)) as shortest
+      from n a join n b on a.split = 'train' and b.split <> 'train' and abs(len(a.iw) - len(b.iw)) <= 1 and abs(len(a.tw) - len(b.tw)) <= 1),
+p as (select *, case when own = 0 then 1.0 else (mi + mt)::double / own end as cover from m where (mi = li and mt = lt) or (shortest >= 5 and li - mi <= 1 and lt - mt <= 1)),
+e as (select n.id as example_id, any_value(split) as split, any_value(source) as source, count(train_id) as partners, coalesce(max(cover), 0.0) as cover
+      from n left join p on eval_id = n.id where split <> 'train' group by n.id)
 """
 
+P4_FOUND = _P4 + "select least(train_id, eval_id) as example_id_a, greatest(train_id, eval_id) as example_id_b from p"
+
+P4_RECORDS = _P4 + "select example_id, split, source, partners, round(cover, 6) as coverage from e"
+
+P4_COVERAGE = _P4 + """select split, source, count(*) as rows, count(*) filter (partners > 0) as covered, round(avg(cover), 6) as words_covered,
+  round(count(*) filter (partners > 0)::double / count(*), 6) as share from e group by split, source"""
+
 P8_FOUND = f"""
 with i as (select item_id, {words('text')} as w from heldout_passages),
 iw as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda p: array_to_string(w[p:p + 11], ' '))) as g from i where len(w) >= 12),

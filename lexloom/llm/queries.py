@@ -59,6 +59,12 @@ def p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.coverage(table(spark, sf_dir, "eval_v3"))
 
 
+def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each evaluation row with its partners in train and the part of its words they cover."""
+    rows = split_overlap.record_coverage(table(spark, sf_dir, "eval_v3"))
+    return rows.select(F.col("id").alias("example_id"), "split", "source", "partners", F.round("coverage", 6).alias("coverage"))
+
+
 def _run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(qdigest.digests(table(spark, sf_dir, "results"), "latency_ms", ["model", "run_id"], F.col("error") == ""))
 
@@ -145,7 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found, "p1_unmatched": p1_unmatched,
         "p2_found": p2_found, "p2_split": p2_split,
         "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report,
-        "p4_found": p4_found, "p4_coverage": p4_coverage,
+        "p4_found": p4_found, "p4_coverage": p4_coverage, "p4_records": p4_records,
         "p5_percentiles": p5_percentiles, "p5_within_bounds": p5_within_bounds,
         "p6_found": p6_found, "p6_forms": p6_forms,
         "p7_containers": p7_containers,
@@ -155,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND, "p8_found": oracles.P8_FOUND}
+    return {"p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p4_coverage": oracles.P4_COVERAGE, "p4_records": oracles.P4_RECORDS, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND, "p8_found": oracles.P8_FOUND}

@@ -188,6 +188,47 @@ def test_overlaps_are_brute_force(spark):
         split_overlap.SEED_PAIRS = keep
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
     assert split_overlap.overlaps(df.limit(0)).count() == 0
+    texts = {r[0]: (bag(r[1]), bag(r[2])) for r in rows}
+
+    def share(t, e):
+        own = [max(len(x), len(y)) - far(x, y) for x, y in zip(texts[t], texts[e], strict=True)]
+        return sum(own) / sum(map(len, texts[e])) if any(texts[e]) else 1.0
+
+    for r in split_overlap.record_coverage(df).collect():
+        with_it = [t for t, e in want if e == r["id"]]
+        assert r["partners"] == len(with_it) and r["coverage"] == pytest.approx(max((share(t, r["id"]) for t in with_it), default=0))
+    assert split_overlap.record_coverage(df.limit(0)).count() == 0
+
+
+def test_one_class_of_many_copies_is_listed_whole(spark):
+    rows = [(i, "correct: a b c d e", "a b c d e", "train" if i % 3 else "test", "s") for i in range(60)] + [(100, "a b c d x", "A b c d e", "test", "s")]
+    df = spark.createDataFrame(rows, "example_id int, input_text string, target_text string, split_name string, source string").withColumns({"salt": F.lit(1), "cid": F.lit(1)})
+    got = [(r["train_id"], r["eval_id"]) for r in split_overlap.overlaps(df).collect()]
+    assert len(got) == len(set(got)) == 40 * 21
+
+
+def test_winnowing_selects_a_shared_minimum():
+    rng = np.random.default_rng(4)
+    for n in range(5, 40):
+        for _ in range(60):
+            a = np.sort(rng.choice(10**6, n, replace=False)).astype("uint64")
+            b = np.sort(np.append(np.delete(a, rng.integers(n)), rng.choice(10**6, rng.integers(0, 2)).astype("uint64")))
+            if len(b) < 5:
+                continue
+            x, y = (split_overlap.winnowed(s[None] * np.uint64(0x2545F4914F6CDD1D)) for s in (a, b))
+            assert set(x[2]) & set(y[2])
+            x, y = (split_overlap.remainders(s[None] * np.uint64(0x2545F4914F6CDD1D)) for s in (a, b))
+            assert set(x[2]) & set(y[2])
+
+
+def test_chain_is_the_longest():
+    rng = random.Random(4)
+    for _ in range(300):
+        seeds = [(rng.randrange(8), rng.randrange(8)) for _ in range(rng.randrange(7))]
+        got = split_overlap.chain(seeds)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in itertools.pairwise(got)) and set(got) <= set(seeds)
+        rising = lambda c: all(a[0] < b[0] and a[1] < b[1] for a, b in itertools.pairwise(c))
+        assert len(got) == max(k for k in range(len(seeds) + 1) for c in itertools.combinations(sorted(set(seeds)), k) if rising(c))
 
 
 # problem 5
