@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexloom.llm import qdigest, truncation
 from lexloom.llm.lookalike import INVISIBLE, JOINED, LOOKALIKE, ODD_SPACE, PHONETIC, composition_table, fullwidth_table
 
 
@@ -43,11 +44,56 @@ from category_plan p cross join size left join have h on h.c = lower(trim(p.cate
 where coalesce(h.n, 0) < greatest(p.min_rows, p.target_share * size.s)
 """
 
-P5_WITHIN = """
-select model, q, count(*) as n, true as within_rank_error, true as days_combine
-from results, (select unnest([0.5::double, 0.9::double, 0.99::double]) as q)
-where error = '' and latency_ms is not null and not isnan(latency_ms)
-group by model, q
+def _compressed(name: str, nodes: str, k: int) -> str:
+    """CTEs ``{name}``: the nodes of ``nodes`` (model, run_id, node, count) compressed, one level of the tree after the other."""
+    bits = qdigest.BITS
+    level = lambda d: f"node >= {2**d} and node < {2 ** (d + 1)}"
+    out = [f"{name}_n as (select model, run_id, sum(count) // {k} as most from {nodes} group by all)", f"{name}_{bits} as (select model, run_id, node, count from {nodes} where {level(bits)})"]
+    for d in range(bits, 0, -1):
+        out.append(f"{name}_f{d} as (select model, run_id, node // 2 as node, sum(count) as fam from {name}_{d} group by all)")
+        out.append(
+            f"{name}_u{d} as (select model, run_id, node, coalesce(fam, 0) as fam, coalesce(count, 0) as own, fam is not null and coalesce(fam, 0) + coalesce(count, 0) <= most as merged "
+            f"from {name}_f{d} f full join (select * from {nodes} where {level(d - 1)}) o using (model, run_id, node) join {name}_n using (model, run_id))"
+        )
+        out.append(f"{name}_k{d} as (select c.* from {name}_{d} c join {name}_u{d} u on u.model = c.model and u.run_id = c.run_id and u.node = c.node // 2 where not u.merged)")
+        out.append(f"{name}_{d - 1} as (select model, run_id, node, own + case when merged then fam else 0 end as count from {name}_u{d} where own > 0 or merged)")
+    kept = " union all ".join([f"select * from {name}_k{d}" for d in range(bits, 0, -1)] + [f"select model, run_id, node, count from {name}_0"])
+    return ", ".join([*out, f"{name} as ({kept})"])
+
+
+def _digests(k: int) -> str:
+    return f"""
+with v as (select model, coalesce(run_id, '') as run_id, latency_ms as x from results where error = '' and latency_ms is not null and not isnan(latency_ms)),
+leaves as (select coalesce(model, '') as model, run_id, {2**qdigest.BITS} + case when x <= {qdigest.LOWEST} then 0
+  else least(floor(ln(x / {qdigest.LOWEST}) / ln({qdigest.GAMMA})) + 1, {2**qdigest.BITS - 1}) end::bigint as node, count(*) as count from v group by all),
+{_compressed("days", "leaves", k)},
+added as (select model, '' as run_id, node, sum(count) as count from days group by all),
+{_compressed("whole", "added", k)},
+digest as (select model, run_id, node, count, false as merged from days union all select model, run_id, node, count, true from whole)
+"""
+
+
+def digests(k: int = qdigest.COMPRESSION) -> str:
+    return _digests(k) + "select nullif(model, '') as model, case when not merged then nullif(run_id, '') end as run_id, node, count::bigint as count from digest"
+
+
+P5_DIGESTS = digests()
+
+_QUANTILES = _digests(qdigest.COMPRESSION) + f"""
+, p as (select *, floor(log2(node))::bigint as depth from digest),
+h as (select *, ((node + 1) << ({qdigest.BITS} - depth)) - 1 - {2**qdigest.BITS} as high from p),
+c as (select *, sum(count) over (partition by model, run_id, merged order by high, depth desc rows unbounded preceding) as upto, sum(count) over (partition by model, run_id, merged) as n from h),
+r as (select model, run_id, merged, n::bigint as n, q, min_by(high, upto) as cell from c, (select unnest([0.5::double, 0.9::double, 0.99::double]) as q) where upto >= greatest(1, ceil(q * n)) group by model, run_id, merged, n, q),
+e as (select *, case when cell <= 0 then {qdigest.LOWEST} else {qdigest.LOWEST} * pow({qdigest.GAMMA}, cell - 0.5) end as estimate, (n // {qdigest.COMPRESSION} * {qdigest.BITS})::bigint as rank_error,
+  case when cell > 0 and cell < {2**qdigest.BITS - 1} then {qdigest.GAMMA - 1}::double end as value_error from r)
+"""
+
+P5_PERCENTILES = _QUANTILES + "select nullif(model, '') as model, case when not merged then nullif(run_id, '') end as run_id, n, q, round(estimate, 6) as estimate, rank_error, round(value_error, 6) as value_error from e"
+
+P5_WITHIN = _QUANTILES + """
+, w as (select model, q, n, rank_error, ceil(q * n) as rank, round(estimate * (1 - 1.01 * value_error), 6) as lo, round(estimate * (1 + 1.01 * value_error), 6) as hi from e where merged),
+s as (select w.model, q, n, rank_error, rank, count(*) filter (x < lo) as below, count(*) filter (x <= hi) as upto from w join v on coalesce(v.model, '') = w.model group by all)
+select nullif(model, '') as model, q, n, rank_error, below, upto, below < rank + rank_error and upto >= rank - rank_error as within from s
 """
 
 P6_FOUND = f"""
@@ -85,3 +131,16 @@ d as (select doc_id, {words('text')} as w from documents),
 dw as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda p: array_to_string(w[p:p + 11], ' '))) as g from d where len(w) >= 12)
 select distinct doc_id, item_id from dw join iw using (g)
 """
+
+P9_LIMITS = f"""
+with t as (select coalesce(source, '') as source, regexp_replace(text, '(?:\\s|{truncation.SIGNS})+\\z', '') as bare, regexp_replace(text, '(?:\\n|{truncation.SIGNS})+\\z', '') as unmarked from documents where text is not null),
+u as (select source, 'chars' as unit, length(unmarked) as length from t where bare <> '' union all select source, 'bytes', octet_length(encode(unmarked)) from t where bare <> ''),
+n as (select source, unit, length, count(*) as n from u group by all),
+r as (select *, sum(n) over (partition by source, unit order by length rows between current row and unbounded following) as at_risk from n),
+w as (select *, n::double / at_risk as hazard,
+  least(1.0, greatest({', '.join(f"(sum(n) over (partition by source, unit order by length range between {k} preceding and {k} following) - n + 1.0) / ({2 * k}.0 * avg(at_risk) over (partition by source, unit order by length range between {k} preceding and {k} following))" for k in truncation.NEIGHBOURS)})) as beside from r),
+p as (select *, case when hazard > beside then exp(-(n * ln(n / (beside * at_risk)) - n + beside * at_risk)) else 1.0 end as p from w),
+k as (select *, case when p <= row_number() over (partition by source, unit order by p, length) * {truncation.FALSE_DISCOVERY} / count(*) over (partition by source, unit) then p end as passed from p),
+s as (select *, max(passed) over (partition by source, unit) as most from k)
+select source, unit, length, n, at_risk, round(hazard, 6) as hazard, round(1 - beside / hazard, 6) as surplus from s where p <= most and hazard >= {truncation.LEAST_RATIO} * beside
+"""

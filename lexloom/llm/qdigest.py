@@ -71,7 +71,7 @@ def quantile(node: np.ndarray, count: np.ndarray, q: float) -> float:
     return float(high[order][min(at, len(order) - 1)])
 
 
-def digests(df: DataFrame, value_col: str, keys: list[str], where: Column) -> DataFrame:
+def digests(df: DataFrame, value_col: str, keys: list[str], where: Column, k: int = COMPRESSION) -> DataFrame:
     """One digest per group: ``*keys, node, count``. NULL and NaN values and rows outside ``where`` are left out.
 
     Leaves are counted before the shuffle; a group reaches its task as at most ``2**BITS`` counts, however many rows it
@@ -83,22 +83,22 @@ def digests(df: DataFrame, value_col: str, keys: list[str], where: Column) -> Da
         .groupBy(*keys, (cell(v) + F.lit(2**BITS)).alias("node"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    return _compressed(leaves, keys)
+    return _compressed(leaves, keys, k)
 
 
-def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
+def merge(parts: DataFrame, keys: list[str], k: int = COMPRESSION) -> DataFrame:
     """Digests of finer groups combined to those of ``keys``: nodes are added, then compressed again.
 
     A node above the leaves holds at most ``n_p // k`` rows of each part, together no more than ``n // k`` of the whole,
     so the bound on the rank error, ``BITS * (n // k)`` rows, holds for the merged digest as for one made at once.
     """
-    return _compressed(parts.groupBy(*keys, "node").agg(F.sum("count").alias("count")), keys)
+    return _compressed(parts.groupBy(*keys, "node").agg(F.sum("count").alias("count")), keys, k)
 
 
-def _compressed(nodes: DataFrame, keys: list[str]) -> DataFrame:
+def _compressed(nodes: DataFrame, keys: list[str], k: int) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, c = compress(pdf["node"].to_numpy("int64"), pdf["count"].to_numpy("int64"))
-        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(n) for k in keys} | {"node": n, "count": c})
+        n, c = compress(pdf["node"].to_numpy("int64"), pdf["count"].to_numpy("int64"), k)
+        return pd.DataFrame({x: [pdf[x].iloc[0]] * len(n) for x in keys} | {"node": n, "count": c})
 
     types = dict(nodes.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + DIGEST
@@ -106,15 +106,20 @@ def _compressed(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_quantiles(parts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """``*keys, n, q, estimate, rank_error, value_error``: rank error in rows, value error relative."""
+    """``*keys, n, q, estimate, rank_error, value_error``: rank error in rows, value error relative.
+
+    In the lowest cell (values up to LOWEST, negative ones too) and in the highest the value error has no bound; it is
+    NULL there. NULL and NaN values are in no digest; a group without values has no row.
+    """
     types = dict(parts.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         node, count = pdf["node"].to_numpy("int64"), pdf["count"].to_numpy("int64")
         n = int(count.sum())
         bound = n // COMPRESSION * BITS
-        est = cell_value(np.array([quantile(node, count, q) for q in probs]))
-        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(probs) for k in keys} | {"n": n, "q": probs, "estimate": est, "rank_error": bound, "value_error": GAMMA - 1})
+        at = np.array([quantile(node, count, q) for q in probs])
+        error = np.where((at <= 0) | (at >= 2**BITS - 1), np.nan, GAMMA - 1)
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(probs) for k in keys} | {"n": n, "q": probs, "estimate": cell_value(at), "rank_error": bound, "value_error": error})
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n bigint, q double, estimate double, rank_error bigint, value_error double"
     return parts.groupBy(*keys).applyInPandas(one, schema)

@@ -69,32 +69,37 @@ def _run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(qdigest.digests(table(spark, sf_dir, "results"), "latency_ms", ["model", "run_id"], F.col("error") == ""))
 
 
-def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per model and run, and per model from the runs' digests (run_id NULL)."""
+def _all_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs' digests, and per model the digest that the runs combine to (run_id NULL)."""
     runs = _run_digests(spark, sf_dir)
     whole = qdigest.merge(runs, ["model"]).select("model", F.lit(None).cast("string").alias("run_id"), "node", "count")
-    return qdigest.read_quantiles(runs.unionByName(whole), ["model", "run_id"], QUANTILES)
+    return runs.unionByName(whole)
+
+
+def p5_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form in which days combine: counted nodes per model and run, and per model (run_id NULL)."""
+    return _all_digests(spark, sf_dir)
+
+
+def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per model and run, and per model from the runs' digests (run_id NULL)."""
+    out = qdigest.read_quantiles(_all_digests(spark, sf_dir), ["model", "run_id"], QUANTILES)
+    return out.withColumns({"estimate": F.round("estimate", 6), "value_error": F.round("value_error", 6)})
 
 
 def p5_within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each model's merged estimate against the ranks counted over all rows."""
-    runs = _run_digests(spark, sf_dir)
-    est = qdigest.read_quantiles(qdigest.merge(runs, ["model"]), ["model"], QUANTILES)
-    at_once = qdigest.digests(table(spark, sf_dir, "results"), "latency_ms", ["model"], F.col("error") == "")
-    once = qdigest.read_quantiles(at_once, ["model"], QUANTILES).select("model", "q", F.col("n").alias("n_once"))
-    # three rows for each model, a closed list of names
+    """Each model's merged estimate among all rows: ``below`` and ``upto`` count the rows under it and up to it, a value
+    error on either side; the true rank is met where it lies between them, give or take the rank error."""
+    est = qdigest.read_quantiles(qdigest.merge(_run_digests(spark, sf_dir), ["model"]), ["model"], QUANTILES)
     rows = table(spark, sf_dir, "results").filter((F.col("error") == "") & F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms"))
-    wide = est.withColumns({"lo": F.col("estimate") * (1 - 1.01 * F.col("value_error")), "hi": F.col("estimate") * (1 + 1.01 * F.col("value_error"))})
+    # three rows for each model, a closed list of names
+    wide = est.withColumns({"lo": F.round(F.col("estimate") * (1 - 1.01 * F.col("value_error")), 6), "hi": F.round(F.col("estimate") * (1 + 1.01 * F.col("value_error")), 6)})
     v = F.col("latency_ms")
     ranks = rows.select(F.col("model").alias("m"), "latency_ms").join(F.broadcast(wide), F.col("m").eqNullSafe(F.col("model")))
-    seen = ranks.groupBy("model", "q", "n", "rank_error").agg(
-        F.count_if(v < F.col("lo")).alias("below"), F.count_if(v <= F.col("hi")).alias("upto"), F.count(F.lit(1)).alias("rows")
-    )
+    seen = ranks.groupBy("model", "q", "n", "rank_error").agg(F.count_if(v < F.col("lo")).alias("below"), F.count_if(v <= F.col("hi")).alias("upto"))
     rank = F.ceil(F.col("q") * F.col("n"))
-    within = (F.col("below") < rank + F.col("rank_error")) & (F.col("upto") >= rank - F.col("rank_error")) & (F.col("rows") == F.col("n"))
-    return seen.join(F.broadcast(once.withColumnsRenamed({"model": "m2", "q": "q2"})), F.col("model").eqNullSafe(F.col("m2")) & (F.col("q") == F.col("q2"))).select(
-        "model", "q", "n", within.alias("within_rank_error"), (F.col("n_once") == F.col("n")).alias("days_combine")
-    )
+    within = (F.col("below") < rank + F.col("rank_error")) & (F.col("upto") >= rank - F.col("rank_error"))
+    return seen.select("model", "q", "n", "rank_error", "below", "upto", within.alias("within"))
 
 
 TEXTS = [("correction_requests", "request_id", "query"), ("eval_v3", "example_id", "input_text")]
@@ -143,7 +148,14 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lengths at which a source cuts its texts."""
     ends = truncation.endings(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    return truncation.length_hazards(ends).filter("significant").select("source", "unit", "length", "n", "hazard", "surplus")
+    limits = truncation.length_hazards(cut(ends.select("source", "chars", "bytes"))).filter("significant")
+    return limits.select("source", "unit", "length", "n", "at_risk", F.round("hazard", 6).alias("hazard"), F.round("surplus", 6).alias("surplus"))
+
+
+def p9_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each truncated text with its reason: cut at a limit of its source, or broken off at any length."""
+    ends = truncation.scored_endings(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return ends.filter("truncated").select(F.col("id").alias("doc_id"), "source", "reason", F.when(F.col("place") != "", F.col("place")).alias("limit"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -152,13 +164,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found, "p2_split": p2_split,
         "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report,
         "p4_found": p4_found, "p4_coverage": p4_coverage, "p4_records": p4_records,
-        "p5_percentiles": p5_percentiles, "p5_within_bounds": p5_within_bounds,
+        "p5_digests": p5_digests, "p5_percentiles": p5_percentiles, "p5_within_bounds": p5_within_bounds,
         "p6_found": p6_found, "p6_forms": p6_forms,
         "p7_containers": p7_containers,
         "p8_found": p8_found, "p8_reworded": p8_reworded,
-        "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits,
+        "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits, "p9_reasons": p9_reasons,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p4_coverage": oracles.P4_COVERAGE, "p4_records": oracles.P4_RECORDS, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND, "p8_found": oracles.P8_FOUND}
+    return {"p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p4_coverage": oracles.P4_COVERAGE, "p4_records": oracles.P4_RECORDS, "p5_digests": oracles.P5_DIGESTS, "p5_percentiles": oracles.P5_PERCENTILES, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND, "p8_found": oracles.P8_FOUND, "p9_limits": oracles.P9_LIMITS}

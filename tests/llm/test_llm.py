@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import canonical_map, group_split, leakage, lookalike, packing, qdigest, queries, quota_sample, split_overlap, truncation
+from lexloom.llm import canonical_map, group_split, leakage, lookalike, oracles, packing, qdigest, queries, quota_sample, split_overlap, truncation
 from tests.oracle import connection, duck_rows, spark_rows
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -182,10 +182,11 @@ def test_overlaps_are_brute_force(spark):
             di, dt = far(*texts[:2]), far(*texts[2:])
             if di == dt == 0 or (min(map(len, texts)) >= 5 and di <= 1 and dt <= 1):
                 want.add((p[0], q[0]))
-    for limit in (split_overlap.SEED_PAIRS, 0):
-        keep, split_overlap.SEED_PAIRS = split_overlap.SEED_PAIRS, limit
+    keep = split_overlap.SEED_PAIRS, split_overlap.BROADCAST_ROWS
+    for limit in (keep, (0, keep[1]), (4, 0)):
+        split_overlap.SEED_PAIRS, split_overlap.BROADCAST_ROWS = limit
         got = [(r["train_id"], r["eval_id"]) for r in split_overlap.overlaps(df).collect()]
-        split_overlap.SEED_PAIRS = keep
+        split_overlap.SEED_PAIRS, split_overlap.BROADCAST_ROWS = keep
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
     assert split_overlap.overlaps(df.limit(0)).count() == 0
     texts = {r[0]: (bag(r[1]), bag(r[2])) for r in rows}
@@ -253,6 +254,23 @@ def test_digest_error_and_merge():
         assert (cells < est).sum() < rank + bound and (cells <= est).sum() >= rank - bound
 
 
+def test_value_error_is_open_in_the_outer_cells(spark):
+    df = spark.createDataFrame([("a", -5.0), ("b", 7.0), ("c", 1e15)], "g string, v double")
+    out = {r["g"]: r["value_error"] for r in qdigest.read_quantiles(qdigest.digests(df, "v", ["g"], F.lit(True)), ["g"], [0.5]).collect()}
+    assert out["a"] is None and out["c"] is None and out["b"] == pytest.approx(qdigest.GAMMA - 1)
+
+
+@needs_tables
+def test_sql_twin_compresses_the_same(spark):
+    rows = spark.read.parquet(f"{SF}/results.parquet")
+    days = qdigest.digests(rows, "latency_ms", ["model", "run_id"], F.col("error") == "", 5)
+    whole = qdigest.merge(days, ["model"], 150).select("model", F.lit(None).cast("string").alias("run_id"), "node", "count")
+    assert days.agg(F.min("node")).first()[0] < 2**qdigest.BITS
+    whole5 = qdigest.merge(days, ["model"], 5).select("model", F.lit(None).cast("string").alias("run_id"), "node", "count")
+    assert spark_rows(days.unionByName(whole5)) == duck_rows(connection(SF), oracles.digests(5))
+    assert whole.agg(F.sum("count")).first()[0] == days.agg(F.sum("count")).first()[0]
+
+
 def test_cells_are_ordered_and_near(spark):
     x = [-5.0, 0.0, 0.0005, 0.001, 0.5, 1.0, 206.1, 1e6, 1e15]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "v double").select(qdigest.cell(F.col("v"))).collect()]
