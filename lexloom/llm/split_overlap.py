@@ -176,8 +176,8 @@ def candidates(classes: DataFrame) -> DataFrame:
     if not n.get(True):
         return pairs
     # exact way for frequent seeds: nearly equal sequences also agree in what is left of them without one word
-    often = _kept(seeds, live.filter("often").select("seed"), n[True]).select("cid").distinct()
-    left = seeds_of(long.join(often, "cid", "left_semi"), remainders)
+    often = cut(_kept(seeds, live.filter("often").select("seed"), n[True]).select("cid").distinct())
+    left = seeds_of(long.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "cid", "left_semi"), remainders)
     more = _met(left).select("cid_t", "cid_e").distinct().withColumn("seeds", F.array().cast("array<struct<pos_t:int,pos_e:int>>"))
     return pairs.unionByName(more).groupBy("cid_t", "cid_e").agg(F.flatten(F.collect_list("seeds")).alias("seeds"))
 
@@ -236,12 +236,14 @@ def class_links(classes: DataFrame) -> DataFrame:
     """
     cand = cut(candidates(classes))
     few = cand.count() <= BROADCAST_ROWS
-    words = classes.select("cid", "iw", "tw")
-    for side in "te":
-        own = words.select(*[F.col(c).alias(f"{c}_{side}") for c in words.columns])
-        cand = own.join(F.broadcast(cand) if few and side == "t" else cand, f"cid_{side}")
+    left, right = (classes.select(*[F.col(c).alias(f"{c}_{side}") for c in ("cid", "iw", "tw")]) for side in "te")
+    if few:  # the candidates go to the words, and only those of candidates are shuffled
+        left, right = left.join(F.broadcast(cand), "cid_t"), right.join(F.broadcast(cand.select("cid_t", "cid_e")), "cid_e")
+        both = left.join(right, ["cid_t", "cid_e"])
+    else:
+        both = cand.join(left, "cid_t").join(right, "cid_e")
     # an alignment is read three times: it is cut so that it is made once
-    near = cut(cand.select("cid_t", "cid_e", *[_words(f"{w}_{s}").alias(f"n{w}_{s}") for w in ("iw", "tw") for s in "te"], _aligned("iw_t", "iw_e", "tw_t", "tw_e", "seeds").alias("m")))
+    near = cut(both.select("cid_t", "cid_e", *[_words(f"{w}_{s}").alias(f"n{w}_{s}") for w in ("iw", "tw") for s in "te"], _aligned("iw_t", "iw_e", "tw_t", "tw_e", "seeds").alias("m")))
     one = [F.greatest(F.col(f"n{w}_t"), F.col(f"n{w}_e")) - F.col(f"m.{m}") <= 1 for w, m in (("iw", "input"), ("tw", "target"))]
     share = (F.col("m.input") + F.col("m.target")) / (F.col("niw_e") + F.col("ntw_e"))
     same = classes.filter("n_train > 0 and n_eval > 0").select(F.col("cid").alias("cid_t"), F.col("cid").alias("cid_e"), F.lit(1.0).alias("share"))
