@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import qdigest, truncation
+from lexloom.llm import leakage, qdigest, truncation
 from lexloom.llm.lookalike import INVISIBLE, JOINED, LOOKALIKE, ODD_SPACE, PHONETIC, composition_table, fullwidth_table
 
 
@@ -144,3 +144,18 @@ k as (select *, case when p <= row_number() over (partition by source, unit orde
 s as (select *, max(passed) over (partition by source, unit) as most from k)
 select source, unit, length, n, at_risk, round(hazard, 6) as hazard, round(1 - beside / hazard, 6) as surplus from s where p <= most and hazard >= {truncation.LEAST_RATIO} * beside
 """
+
+_UNITS = ", ".join(f"'{u}'" for u in leakage.UNITS)
+P8_REWORDED = f"""
+with t as (select 0 as side, item_id as id, {words('text')} as w from heldout_passages union all select 1, doc_id, {words('text')} from documents),
+f as (select w from (select id, unnest(list_distinct(w)) as w from t where side = 0) group by w having count(*) >= greatest(2, ceil({leakage.NAME_SHARE} * (select count(*) from heldout_passages)))),
+u as (select side, id, unnest(w) as w, generate_subscripts(w, 1) as p from t where len(w) >= {leakage.WINDOW}),
+l as (select side, id, list(u.w order by p) as w, list(case when regexp_matches(u.w, '^[0-9]+$') then '<num>' when u.w in ({_UNITS}) then '<unit>' when f.w is not null then u.w else '<name>' end order by p) as t
+      from u left join f on f.w = u.w group by side, id),
+s as (select side, id, w, t, unnest(range(1, len(w) - {leakage.WINDOW - 2})) as p from l),
+n as (select side, id, w[p:p + {leakage.WINDOW - 1}] as w, t[p:p + {leakage.WINDOW - 1}] as t from s),
+k as (select side, id, w, case when len(list_filter(t, lambda x: x[1] = '<')) > {leakage.WINDOW - leakage.LEAST_FIXED} then 'own ' || array_to_string(w, ' ') else array_to_string(t, ' ') end as k from n),
+h as (select d.id as doc_id, i.id as item_id, d.w as x, i.w as y, list_distinct(list_transform(range(1, {leakage.WINDOW + 1}), lambda j: d.w[j] || '>' || i.w[j])) as z from k d join k i on d.side = 1 and i.side = 0 and d.k = i.k)
+select doc_id, item_id, count(*) as windows from h where len(z) = len(list_distinct(x)) and len(z) = len(list_distinct(y))
+group by doc_id, item_id having not bool_or(x = y)
+"""

@@ -173,4 +173,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p4_coverage": oracles.P4_COVERAGE, "p4_records": oracles.P4_RECORDS, "p5_digests": oracles.P5_DIGESTS, "p5_percentiles": oracles.P5_PERCENTILES, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND, "p8_found": oracles.P8_FOUND, "p9_limits": oracles.P9_LIMITS}
+    return {"p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p4_coverage": oracles.P4_COVERAGE, "p4_records": oracles.P4_RECORDS, "p5_digests": oracles.P5_DIGESTS, "p5_percentiles": oracles.P5_PERCENTILES, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND, "p8_found": oracles.P8_FOUND, "p8_reworded": oracles.P8_REWORDED, "p9_limits": oracles.P9_LIMITS}

@@ -361,6 +361,9 @@ def test_leaks_are_brute_force(spark):
     want = {(i, j) for i, s in docs for j, u in items if grams(s) & grams(u)}
     got = [(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(d, t).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    keep, leakage.BROADCAST_WINDOWS = leakage.BROADCAST_WINDOWS, 0
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(d, t).collect()} == want
+    leakage.BROADCAST_WINDOWS = keep
     assert leakage.leaked_passages(d.limit(0), t).count() == 0 and leakage.leaked_passages(d, t.limit(0)).count() == 0
 
 
