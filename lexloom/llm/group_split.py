@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.lookalike import words_of
 from lexloom.operators.skew import join_back
-from lexloom.session import cut
+from lexloom.session import cut, cut_table, drop_table
 
 #: A component with at least one row in this many is placed before all others; there can be at most this many.
 GIANT_SHARE = 2000
@@ -22,19 +22,51 @@ def target_key(target: Column) -> Column:
     return F.when(F.size(words) > 0, F.unhex(F.md5(F.array_join(words, " "))))
 
 
-def components(df: DataFrame, id_col: str, target_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+def alone_key(id_col: str) -> Column:
+    """The key of a row that shares nothing with another row."""
+    return F.unhex(F.md5(F.concat_ws("|", F.lit("alone"), F.col(id_col).cast("string"))))
+
+
+def linked(nodes: DataFrame) -> DataFrame:
+    """``node, label``: the smallest node of each node's component, given rows of nodes that belong together (``nodes array<binary>``).
+
+    Labels are spread along the links and then jump to the label of their label, so the rounds grow with the logarithm of
+    a component's width; each round is cut. A node of many links is counted down before the shuffle and its label comes
+    back by a join safe from hot keys. Only numbers reach the driver.
+    """
+    first = F.get("nodes", F.lit(0))
+    links = nodes.select(first.alias("a"), F.explode("nodes").alias("b")).distinct()
+    links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    total = links.count()
+    labels = cut_table(links.groupBy("a").agg(F.min("b").alias("label"), F.count(F.lit(1)).alias("n")).withColumn("label", F.least("a", "label")))
+    while True:
+        reached = join_back(links, labels, "a", "n", total, ["label"]).groupBy(F.col("b").alias("a")).agg(F.min("label").alias("near"))
+        new = labels.join(reached, "a").select("a", "n", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        of_label = new.groupBy(F.col("label").alias("at")).agg(F.count(F.lit(1)).alias("m")).join(new.select(F.col("a").alias("at"), F.col("label").alias("further")), "at")
+        new = cut_table(join_back(new.withColumn("at", F.col("label")), of_label, "at", "m", total, ["further"]).select("a", "n", "old", F.coalesce("further", "label").alias("label")))
+        moved = new.filter("label <> old").count()
+        drop_table(labels)
+        labels = new.select("a", "n", "label")
+        if not moved:
+            return labels.select(F.col("a").alias("node"), "label", "n")
+
+
+def components(df: DataFrame, id_col: str, keys: list[Column], label_col: str) -> tuple[DataFrame, DataFrame]:
     """``(rows, comps)``: rows as ``id, key, label``; comps as ``key, first_id, n, labels map<string,bigint>``.
 
-    All records of one target are one component. A row without words (NULL, blank, punctuation only) shares its target
-    with nobody and is a component of its own. Counts are combined per key and label before the shuffle, so a target
-    that holds a third of all rows arrives as one row per label. A row's label is its trimmed lower-case category; a
-    NULL label counts as the label ``''``.
+    Rows that share any of the keys (binary) are one component. A row all of whose keys are NULL shares nothing and is a
+    component of its own. Counts are combined per key and label before the shuffle, so a key that holds a third of all
+    rows arrives as one row per label. A row's label is its trimmed lower-case category; a NULL label counts as ``''``.
     """
-    rows = df.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(target_key(F.col(target_col)), F.unhex(F.md5(F.concat_ws("|", F.lit("alone"), F.col(id_col).cast("string"))))).alias("key"),
-        F.coalesce(F.lower(F.trim(F.col(label_col))), F.lit("")).alias("label"),
-    )
+    label = F.coalesce(F.lower(F.trim(F.col(label_col))), F.lit(""))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(keys[0], alone_key(id_col)).alias("key"), label.alias("label"))
+    if len(keys) > 1:
+        tagged = [F.when(k.isNotNull(), F.unhex(F.md5(F.concat_ws("|", F.lit(str(i)), F.hex(k))))) for i, k in enumerate(keys)]
+        own = F.filter(F.array(*tagged), lambda x: x.isNotNull())
+        rows = df.select(F.col(id_col).alias("id"), F.when(F.size(own) > 0, own).otherwise(F.array(alone_key(id_col))).alias("nodes"), label.alias("label"))
+        rows = cut(rows.withColumn("node", F.get("nodes", F.lit(0))))
+        of = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).join(linked(rows.select("nodes").distinct()).select("node", F.col("label").alias("key")), "node")
+        rows = cut(join_back(rows.select("id", "label", "node"), cut(of), "node", "m", rows.count(), ["key"]).select("id", "key", "label"))
     per_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     comps = per_label.groupBy("key").agg(
         F.min("first_id").alias("first_id"), F.sum("n").alias("n"),
@@ -75,73 +107,53 @@ def stratify(comps: pd.DataFrame, targets: dict[tuple[str, str], float], splits:
     return [s if s is not None else splits[0] for s in out]
 
 
-def grouped_split(df: DataFrame, id_col: str, target_col: str, label_col: str, plan: DataFrame) -> DataFrame:
+def place(comps: pd.DataFrame, wants: pd.DataFrame, splits: list[str]) -> pd.DataFrame:
+    """The split of each component of one task, by what the splits want there."""
+    comps = comps.sort_values("key", key=lambda c: c.map(bytes))
+    targets = {(r.label, r.split): float(r.want) for r in wants.itertuples()}
+    return pd.DataFrame({"key": comps["key"], "split": stratify(comps, targets, splits)})
+
+
+def grouped_split(df: DataFrame, id_col: str, keys: list[Column], label_col: str, plan: DataFrame) -> DataFrame:
     """``example_id, first_id, n_component, split``: every row's split, whole components together.
 
     Step one places the components of at least one row in ``GIANT_SHARE`` (at most that many) in one task. Step two
     deals the other components evenly over tasks of about ``SHARD_COMPONENTS`` and gives each task a whole-number part
-    of what the splits still want of each label, so that the parts add up to the whole and a label too rare for one
-    task still reaches every split. No task and no driver step holds more than those bounds. Shares of ``plan`` are
-    scaled to sum 1; the plan must be a small table of named splits. An empty table gives an empty result.
+    of what the splits still want of each label: running totals over the tasks are rounded, so that the parts add up to
+    the whole and a label too rare for one task still reaches every split. What is wanted meets its task as a table; the
+    driver sees the plan and three numbers. Shares of ``plan`` are scaled to sum 1; the plan must be a small table of
+    named splits. An empty table gives an empty result.
     """
-    spark = df.sparkSession
     wanted = sorted(((r["split_name"], float(r["target_share"] or 0)) for r in plan.select("split_name", "target_share").collect()), key=lambda x: (-x[1], x[0]))
     whole = sum(s for _, s in wanted) or 1.0
-    splits, share = [s for s, _ in wanted], {s: v / whole for s, v in wanted}
-    rows, comps = components(df, id_col, target_col, label_col)
+    splits = [s for s, _ in wanted]
+    rows, comps = components(df, id_col, keys, label_col)
     comps = cut(comps)
     facts = comps.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("comps")).first()
     total, n_comps = int(facts["rows"] or 0), int(facts["comps"] or 0)
     giant_at = max(2, total // GIANT_SHARE)
-    label_rows = {r["label"]: r["n"] for r in comps.select(F.explode("labels").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    targets = {(lab, s): n * share[s] for lab, n in label_rows.items() for s in splits}
-
-    def place_giants(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", key=lambda c: c.map(bytes))
-        return pd.DataFrame({"key": pdf["key"], "split": stratify(pdf, dict(targets), splits)})
-
-    giants = comps.filter(F.col("n") > giant_at)
-    placed = cut(giants.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(place_giants, "key binary, split string")) if total else spark.createDataFrame([], "key binary, split string")
-    used = placed.join(F.broadcast(giants.select("key", "labels")), "key").select("split", F.explode("labels").alias("label", "n")).groupBy("split", "label").agg(F.sum("n").alias("n")).collect()
-    rest_want = dict(targets)
-    for r in used:
-        rest_want[r["label"], r["split"]] -= r["n"]
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.lit(v / whole).alias("share")) for s, v in wanted]))
+    per_label = comps.select(F.explode("labels").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n"))
+    wants = cut(per_label.select("label", "n", each.alias("s")).select("label", F.col("s.split").alias("split"), (F.col("n") * F.col("s.share")).alias("want")))
+
+    def place_group(comps: pd.DataFrame, wants: pd.DataFrame) -> pd.DataFrame:
+        return place(comps, wants, splits) if len(comps) else pd.DataFrame({"key": [], "split": []})
+
+    giants = cut(comps.filter(F.col("n") > giant_at).withColumn("task", F.lit(0)))
+    of_giants = wants.join(giants.select(F.explode(F.map_keys("labels")).alias("label")).distinct(), "label", "left_semi").withColumn("of_task", F.lit(0))
+    placed = cut(giants.groupBy("task").cogroup(of_giants.groupBy("of_task")).applyInPandas(place_group, "key binary, split string"))
+    used = placed.join(giants.select("key", "labels"), "key").select("split", F.explode("labels").alias("label", "n")).groupBy("label", "split").agg(F.sum("n").alias("used"))
+    need = wants.join(used, ["label", "split"], "left").select("label", "split", F.greatest(F.col("want") - F.coalesce("used", F.lit(0)), F.lit(0.0)).alias("need"))
     shards = max(1, -(-n_comps // SHARD_COMPONENTS))
-    rest = comps.filter(F.col("n") <= giant_at).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    load = {(r["shard"], r["label"]): r["n"] for r in rest.select("shard", F.explode("labels").alias("label", "n")).groupBy("shard", "label").agg(F.sum("n").alias("n")).collect()}
-    parts = _apportion(load, rest_want, splits, shards)
-
-    def place_rest(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", key=lambda c: c.map(bytes))
-        return pd.DataFrame({"key": pdf["key"], "split": stratify(pdf, dict(parts.get(int(key[0]), {})), splits)})
-
-    small = rest.select("shard", "key", "labels").groupBy("shard").applyInPandas(place_rest, "key binary, split string")
+    rest = comps.filter(F.col("n") <= giant_at).withColumn("task", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    load = rest.select("task", F.explode("labels").alias("label", "n")).groupBy("task", "label").agg(F.sum("n").alias("n"))
+    # one row for each task, label and split: as many tasks as there are, whatever a label's rows
+    by_task = Window.partitionBy("label", "split").orderBy("task")
+    parts = load.join(need, "label").withColumn("seen", F.sum("n").over(by_task.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.withColumn("all", F.sum("need").over(Window.partitionBy("label", "task")))
+    parts = parts.withColumn("upto", F.when(F.col("all") > 0, F.round(F.col("need") * F.col("seen") / F.col("all"))).otherwise(F.lit(0.0)))
+    parts = parts.select(F.col("task").alias("of_task"), "label", "split", (F.col("upto") - F.lag("upto", 1, 0.0).over(by_task)).alias("want"))
+    small = rest.select("task", "key", "labels").groupBy("task").cogroup(parts.groupBy("of_task")).applyInPandas(place_group, "key binary, split string")
     assigned = cut(comps.select("key", "first_id", "n").join(placed.unionByName(small), "key"))
     out = join_back(rows.select("id", "key"), assigned, "key", "n", total, ["first_id", "n", "split"])
     return out.select(F.col("id").alias("example_id"), "first_id", F.col("n").alias("n_component"), "split")
-
-
-def _apportion(load: dict, want: dict, splits: list[str], shards: int) -> dict[int, dict[tuple[str, str], float]]:
-    """Each shard's wanted rows per label and split: running totals are rounded, so the parts add up exactly."""
-    out: dict[int, dict[tuple[str, str], float]] = {}
-    for label in sorted({lab for _, lab in load}):
-        whole = sum(n for (_, lab), n in load.items() if lab == label)
-        need = {s: max(0.0, want.get((label, s), 0.0)) for s in splits}
-        scale = whole / (sum(need.values()) or 1.0)
-        seen, given = 0, dict.fromkeys(splits, 0)
-        for shard in range(shards):
-            n = load.get((shard, label), 0)
-            seen += n
-            for s in splits:
-                upto = round(need[s] * scale * seen / whole) if whole else 0
-                out.setdefault(shard, {})[label, s] = float(upto - given[s])
-                given[s] = upto
-    return out
-
-
-def shared_targets(df: DataFrame, id_col: str, target_col: str, label_col: str) -> DataFrame:
-    """``example_id, first_id`` of every row whose component has another row: the operator's components."""
-    rows, comps = components(df, id_col, target_col, label_col)
-    many = cut(comps.filter(F.col("n") > 1).select("key", "first_id", "n"))
-    out = join_back(rows.select("id", "key"), many, "key", "n", df.count(), ["first_id"])
-    return out.filter(F.col("first_id").isNotNull()).select(F.col("id").alias("example_id"), "first_id")

@@ -48,8 +48,8 @@ INVISIBLE = (
 )
 ODD_SPACE = "\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000\\u0085\\u2028\\u2029"
 OTHER_SCRIPT = r"\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}"
-#: The collation of the classes: accents count, case and width do not.
-COLLATION = "UNICODE_CI"
+#: The collation of the classes: accents and case count, as both can be seen.
+COLLATION = "UNICODE"
 
 
 @cache
@@ -123,18 +123,15 @@ def words_of(c: Column) -> Column:
 def canonical_classes(mapped: DataFrame) -> DataFrame:
     """``class_key, canonical, class_rows`` of the mapped values, one row a class.
 
-    Classes are the mapped values equal under the accent-sensitive collation ``UNICODE_CI``; the member chosen is the
-    one with the fewest capital letters, then the smallest by code point, so every run picks the same. Rows are counted
+    Classes are the mapped values equal under the accent-sensitive collation ``UNICODE``; the member chosen is the
+    smallest by code point, so every run picks the same. Rows are counted
     per distinct form before anything is grouped by collation, so a value that holds a third of all rows reaches that
     step as one row. NULL values form no class and are left out; the empty string is its own class.
     """
     forms = mapped.filter(F.col("mapped").isNotNull()).groupBy("mapped").agg(F.count(F.lit(1)).alias("n"))
     # the forms are distinct already: placed first, they are sorted and grouped in one step
-    forms.withColumn("class_key", F.collate("mapped", COLLATION)).repartition("class_key").createOrReplaceTempView("lexloom_forms")
-    return mapped.sparkSession.sql("""
-        select class_key, sum(n) as class_rows, min(struct(length(regexp_replace(mapped, '[^\\\\p{Lu}]', '')), mapped)).mapped as canonical
-        from lexloom_forms group by class_key
-    """)
+    placed = forms.withColumn("class_key", F.collate("mapped", COLLATION)).repartition("class_key")
+    return mapped.sparkSession.sql("select class_key, sum(n) as class_rows, min(mapped) as canonical from {forms} group by class_key", forms=placed)
 
 
 def one_space(c: Column) -> Column:

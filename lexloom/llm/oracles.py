@@ -36,6 +36,11 @@ g as (select key, min(example_id) as first_id from k where key <> '' group by ke
 select k.example_id, g.first_id from k join g using (key)
 """
 
+P2_GROUPS = f"""
+with k as (select example_id, array_to_string({words('target_text')}, ' ') as key from eval_v3)
+select min(example_id) as first_id, count(*) as rows, count(*) as n_component, 1 as splits from k group by case when key = '' then 'alone ' || example_id else 'key ' || key end
+"""
+
 P3_FOUND = """
 with size as (select floor(count(*) / 5.0) as s from eval_v3),
 have as (select lower(trim(category)) as c, count(*) as n from eval_v3 group by 1)
@@ -96,6 +101,13 @@ s as (select w.model, q, n, rank_error, rank, count(*) filter (x < lo) as below,
 select nullif(model, '') as model, q, n, rank_error, below, upto, below < rank + rank_error and upto >= rank - rank_error as within from s
 """
 
+_FORM = lambda x: f"trim(regexp_replace({mapped(x)}, ' {{2,}}', ' ', 'g'))"
+P6_FORMS = f"""
+with t as (select 'correction_requests' as table_name, request_id as row_id, case when query = '' then '' else {_FORM('query')} end as canonical from correction_requests
+  union all select 'eval_v3', example_id, case when input_text = '' then '' else {_FORM('input_text')} end from eval_v3)
+select table_name, row_id, canonical, case when canonical is not null then count(*) over (partition by canonical) end as class_rows from t
+"""
+
 P6_FOUND = f"""
 select 'correction_requests' as table_name, request_id as row_id from correction_requests
 where query is not null and query <> '' and {mapped('query')} <> query

@@ -26,12 +26,23 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).filter(F.col("canonical").isNull()).select(F.col("id").alias("request_id"), F.col("value").alias("query"))
 
 
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = group_split.target_key(F.col("target_text"))
+    return group_split.grouped_split(table(spark, sf_dir, "eval_v3"), "example_id", [key], "category", table(spark, sf_dir, "split_plan"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_split.shared_targets(table(spark, sf_dir, "eval_v3"), "example_id", "target_text", "category")
+    return _split(spark, sf_dir).filter("n_component > 1").select("example_id", "first_id")
 
 
 def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_split.grouped_split(table(spark, sf_dir, "eval_v3"), "example_id", "target_text", "category", table(spark, sf_dir, "split_plan"))
+    return _split(spark, sf_dir)
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group of rows of one target, with the number of splits its rows are in."""
+    out = _split(spark, sf_dir).groupBy("first_id").agg(F.count(F.lit(1)).alias("rows"), F.first("n_component").alias("n_component"), F.count_distinct("split").alias("splits"))
+    return out
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +172,7 @@ def p9_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_unmatched": p1_unmatched,
-        "p2_found": p2_found, "p2_split": p2_split,
+        "p2_found": p2_found, "p2_split": p2_split, "p2_groups": p2_groups,
         "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report,
         "p4_found": p4_found, "p4_coverage": p4_coverage, "p4_records": p4_records,
         "p5_digests": p5_digests, "p5_percentiles": p5_percentiles, "p5_within_bounds": p5_within_bounds,
@@ -173,4 +184,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p4_coverage": oracles.P4_COVERAGE, "p4_records": oracles.P4_RECORDS, "p5_digests": oracles.P5_DIGESTS, "p5_percentiles": oracles.P5_PERCENTILES, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND, "p8_found": oracles.P8_FOUND, "p8_reworded": oracles.P8_REWORDED, "p9_limits": oracles.P9_LIMITS}
+    return {"p2_found": oracles.P2_FOUND, "p2_groups": oracles.P2_GROUPS, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p4_coverage": oracles.P4_COVERAGE, "p4_records": oracles.P4_RECORDS, "p5_digests": oracles.P5_DIGESTS, "p5_percentiles": oracles.P5_PERCENTILES, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND, "p6_forms": oracles.P6_FORMS, "p8_found": oracles.P8_FOUND, "p8_reworded": oracles.P8_REWORDED, "p9_limits": oracles.P9_LIMITS}

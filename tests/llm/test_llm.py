@@ -100,7 +100,7 @@ def test_split_keeps_groups_and_shares(spark):
     rng = random.Random(3)
     rows = [(i, "hot one" if i % 3 == 0 else f"w{rng.randrange(1500)}", rng.choice(["a", "b", "c", None, "A "])) for i in range(6000)]
     df = spark.createDataFrame(rows, "example_id int, t string, category string").withColumn("key", F.lit(0)).withColumn("split", F.lit(""))
-    out = group_split.grouped_split(df, "example_id", "t", "category", _plan(spark)).toPandas().merge(df.toPandas()[["example_id", "t", "category"]], on="example_id")
+    out = group_split.grouped_split(df, "example_id", [group_split.target_key(F.col("t"))], "category", _plan(spark)).toPandas().merge(df.toPandas()[["example_id", "t", "category"]], on="example_id")
     assert len(out) == 6000
     assert out.groupby("t")["split"].nunique().max() == 1
     share = out["split"].value_counts(normalize=True)
@@ -112,11 +112,39 @@ def test_split_keeps_groups_and_shares(spark):
 
 def test_split_edges(spark):
     df = spark.createDataFrame([(1, None, None), (2, None, "a"), (3, "", "a"), (4, "!!", "a"), (5, "A  b", "a"), (6, "a, B", "a"), (7, "ａ ｂ", "a"), (8, "ab", "a")], "example_id int, t string, category string")
-    got = {r["example_id"]: r["first_id"] for r in group_split.shared_targets(df, "example_id", "t", "category").collect()}
+    got = {r["example_id"]: r["first_id"] for r in group_split.grouped_split(df, "example_id", [group_split.target_key(F.col("t"))], "category", _plan(spark)).filter("n_component > 1").collect()}
     assert got == {5: 5, 6: 5, 7: 5}
-    assert group_split.grouped_split(df, "example_id", "t", "category", _plan(spark)).count() == 8
-    assert group_split.grouped_split(df.limit(0), "example_id", "t", "category", _plan(spark)).count() == 0
-    assert group_split.shared_targets(df.limit(0), "example_id", "t", "category").count() == 0
+    assert group_split.grouped_split(df, "example_id", [group_split.target_key(F.col("t"))], "category", _plan(spark)).count() == 8
+    assert group_split.grouped_split(df.limit(0), "example_id", [group_split.target_key(F.col("t"))], "category", _plan(spark)).count() == 0
+
+
+def test_components_over_several_keys(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([None, f"a{rng.randrange(90)}"]), rng.choice([None, f"s{rng.randrange(90)}"]), None if i % 7 else f"e{i // 40}", "x") for i in range(160)]
+    rows += [(1000 + i, f"p{i}", f"p{i + 1}", None, "x") for i in range(40)] + [(2000 + i, "one", None, None, "y") for i in range(300)]
+    rows += [(3000 + i, f"q{i}", f"r{i}", None, None) for i in range(30)] + [(3100 + i, f"q{i + 1}", f"r{i}", None, None) for i in range(29)]
+    df = spark.createDataFrame(rows, "id int, author string, source string, entity string, label string").withColumns({"node": F.lit(1), "key": F.lit(1)})
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for r in rows:
+        for k, v in enumerate(r[1:4]):
+            if v is not None:
+                parent[root((k, v))] = root(("row", r[0]))
+        root(("row", r[0]))
+    want = {}
+    for r in rows:
+        want.setdefault(root(("row", r[0])), set()).add(r[0])
+    keys = [F.col(c).cast("binary") for c in ("author", "source", "entity")]
+    got = {}
+    for r in group_split.grouped_split(df, "id", keys, "label", _plan(spark)).collect():
+        got.setdefault(r["first_id"], []).append((r["example_id"], r["split"], r["n_component"]))
+    assert sorted(map(sorted, want.values())) == sorted(sorted(x[0] for x in g) for g in got.values())
+    assert all(len({x[1] for x in g}) == 1 and g[0][2] == len(g) for g in got.values())
 
 
 # problem 3
@@ -306,7 +334,7 @@ def test_equal_looking_texts_meet(spark):
     out = lookalike.consistent_form(df, "id", "t").collect()
     assert len(out) == 8
     form = {r["id"]: r["canonical"] for r in out}
-    assert form[1] == form[2] == form[3] == form[7] == "café au lait" and form[4] != form[1] and form[5] is None and form[6] == ""
+    assert form[1] == form[7] == "Café au lait" and form[2] == form[3] == "café au lait" and form[4] == "cafe au lait" and form[5] is None and form[6] == ""
     assert {r["id"] for r in out if r["odd"]} == {2, 3}
     assert lookalike.consistent_form(df.limit(0), "id", "t").count() == 0
 
