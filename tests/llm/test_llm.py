@@ -156,12 +156,48 @@ def test_swap_repair_is_the_best_count():
         (sum((t[k] - share[k] * 20) ** 2 for k in t) for t in ({"a": a, "b": b, "c": 20 - a - b} for a in range(2, 21) for b in range(2, 6)) if floors["c"] <= t["c"] <= 40),
     )
     for seed in range(10):
-        start = quota_sample.random_start(available, floors, 20, random.Random(seed))
+        rng = random.Random(seed)
+        start = quota_sample.random_start(available, {k: rng.randrange(n // 3 + 1) for k, n in available.items()}, floors, 20)
         assert sum(start.values()) == 20 and all(floors[k] <= start[k] <= available[k] for k in start)
         take = quota_sample.swap_repair(start, available, share, floors, 20)
         assert sum(take.values()) == 20 and sum((take[k] - share[k] * 20) ** 2 for k in take) == pytest.approx(best)
 
 
+def test_repair_over_signatures_of_several_categories():
+    rng = random.Random(13)
+    for _ in range(40):
+        sigs = ["a", "b", "a\x1fb", "b\x1fc", ""]
+        available = {s: rng.randrange(9) for s in sigs}
+        size = sum(available.values()) // 2
+        share, wish = {"a": 0.5, "b": 0.3, "c": 0.4}, {"a": 2, "b": 1, "c": 1}
+        floors = quota_sample.feasible_floors(wish, available, size)
+        take = quota_sample.swap_repair(quota_sample.random_start(available, available, floors, size), available, share, floors, size)
+        count = lambda t, c: sum(k for s, k in t.items() if c in quota_sample.parts_of(s))
+        off = lambda t: sum((count(t, c) - share[c] * size) ** 2 for c in share) + t[""] ** 2
+        assert sum(take.values()) == size and all(0 <= take[s] <= available[s] for s in sigs)
+        for a, b in itertools.permutations(sigs, 2):
+            if take[a] and take[b] < available[b]:
+                t = take | {a: take[a] - 1, b: take[b] + 1}
+                assert off(t) >= off(take) - 1e-9 or any(count(t, c) < floors[c] for c in floors)
+
+
+def test_sample_of_rows_with_several_categories(spark):
+    df = spark.createDataFrame([(i, [["x"], ["X ", "y"], ["y", None], None, ["w"]][i % 5]) for i in range(1000)], "id int, category array<string>")
+    plan = spark.createDataFrame([("x", 0.6, 1), ("y", 0.6, 1), ("z", 0.01, 700)], "category string, target_share double, min_rows int")
+    sample, report = quota_sample.quota_sample(df, "id", "category", plan)
+    got = sample.groupBy("category").count().collect()
+    assert sample.count() == 200 and {r["category"] for r in got} <= {"x", "x | y", "y"}
+    rep = {r["category"]: r for r in report.collect()}
+    assert rep["x"]["taken"] == 120 and rep["y"]["taken"] == 120 and rep["z"]["short"] and not rep["x"]["short"]
+
+
+def test_floors_beyond_the_sample_are_scaled(spark):
+    df = spark.createDataFrame([(i, "xy"[i % 2]) for i in range(100)], "id int, category string")
+    plan = spark.createDataFrame([("x", 0.5, 40), ("y", 0.5, 40)], "category string, target_share double, min_rows int")
+    sample, report = quota_sample.quota_sample(df, "id", "category", plan)
+    assert sample.count() == 20 and {r["taken"] for r in report.collect()} == {10}
+
+
 def test_sample_size_floors_and_report(spark):
     rows = [(i, "big " if i % 20 else "rare" if i % 200 == 0 else None) for i in range(4000)]
     df = spark.createDataFrame(rows, "id int, category string").withColumn("sig", F.lit(1)).withColumn("h", F.lit(1))
