@@ -136,6 +136,11 @@ P4_RECORDS = _P4 + "select example_id, split, source, partners, round(cover, 6)
 P4_COVERAGE = _P4 + """select split, source, count(*) as rows, count(*) filter (partners > 0) as covered, round(avg(cover), 6) as words_covered,
   round(count(*) filter (partners > 0)::double / count(*), 6) as share from e group by split, source"""
 
+P7_FILL = """
+with s as (select c.container, c.capacity_tokens as cap, octet_length(encode(text)) + 1 as n from documents, containers c where text is not null)
+select container, count(*) as texts, sum(greatest(1, ceil(n / cap)))::bigint as pieces, sum(n)::bigint as tokens, 0 as split_needlessly, 0 as overfull from s group by container
+"""
+
 P8_FOUND = f"""
 with i as (select item_id, {words('text')} as w from heldout_passages),
 iw as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda p: array_to_string(w[p:p + 11], ' '))) as g from i where len(w) >= 12),

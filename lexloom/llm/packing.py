@@ -1,14 +1,15 @@
 """Filling fixed-capacity containers with items (problem 7), by swap-based local search.
 
-Items are dealt over tasks of a bounded number of items. Each task packs its items and then searches: it moves an item,
-exchanges one for one or two for one between underfull bins whenever that increases the sum of squared fills, until no
-step does; bins that run empty go. What is left underfull is dealt again over fewer tasks and packed once more, so the
-number of badly filled bins does not grow with the number of tasks.
+Items are dealt over tasks of a bounded number of items. Each task packs its items best fit, then searches among its
+underfull bins: it moves an item, exchanges one for one or two for one, always the exchange that leaves least room,
+whenever that increases the sum of squared fills, until none does; bins that run empty go. What is left underfull is
+dealt again over fewer tasks, round after round until it fits into one, so the number of badly filled bins does not grow
+with the number of tasks.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,9 @@ from lexloom.session import cut
 
 #: Items of one task.
 SHARD_ITEMS = 20_000
-#: Bins below this fill are packed again with those of other tasks.
-REPACK_BELOW = 0.98
-#: Steps of the local search per underfull bin.
-SEARCH_STEPS = 64
+#: A bin filled to this share counts as full; only those below take part in the search and in the next round.
+UNDERFULL = 0.985
+PACKED = "container string, id {0}, piece int, size bigint, bin string, fill bigint"
 
 
 def size_of(text: Column) -> Column:
@@ -48,141 +48,168 @@ def fill_first(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Open:
+    """The underfull bins of a search, with their items and pairs of items as flat arrays."""
+
+    def __init__(self, bins: dict[int, list[int]], sizes: np.ndarray, capacity: int):
+        self.bins, self.size, self.capacity = bins, sizes.tolist(), capacity
+        self.fill = {b: sum(self.size[i] for i in own) for b, own in bins.items()}
+        self.pairs = {b: self._pairs_of(b) for b in bins}
+        self._flatten()
+
+    def _pairs_of(self, b: int) -> list[tuple[int, int, int]]:
+        """Pairs of a bin's items, one for each two sizes: at most as many as the capacity allows."""
+        by_size = {}
+        for i in self.bins[b]:
+            by_size.setdefault(self.size[i], []).append(i)
+        order = sorted(by_size)
+        pairs = [(x + y, by_size[x][0], by_size[y][0]) for k, x in enumerate(order) for y in order[k + 1 :]]
+        return pairs + [(2 * x, own[0], own[1]) for x, own in by_size.items() if len(own) > 1]
+
+    def _flatten(self) -> None:
+        order = sorted(self.bins)
+        self.ids = np.array(order, dtype="int64")
+        self.fills = np.array([self.fill[b] for b in order], dtype="int64")
+        one = [(self.size[i], k, i, -1) for k, b in enumerate(order) for i in self.bins[b]]
+        two = [(s, k, i, j) for k, b in enumerate(order) for s, i, j in self.pairs[b]]
+        # a move gives nothing back
+        flat = np.array([(0, k, -1, -1) for k in range(len(order))] + one + two, dtype="int64").reshape(-1, 4)
+        self.back, self.at, self.first, self.second = flat.T
+
+    def best(self, b: int, x: int) -> tuple[int, list[int], int] | None:
+        """The exchange of item ``x`` of bin ``b`` that leaves another bin least room, of all that increase the squared fills."""
+        s = self.size[x]
+        grown = self.fills[self.at] + s - self.back  # the other bin's fill afterwards
+        fits = np.flatnonzero((self.back < s) & (grown <= self.capacity) & (grown > self.fill[b]) & (self.ids[self.at] != b))
+        if not len(fits):
+            return None
+        k = fits[np.argmax(grown[fits])]
+        return int(self.ids[self.at[k]]), [int(i) for i in (self.first[k], self.second[k]) if i >= 0], int(grown[k])
+
+    def exchange(self, b: int, x: int, t: int, back: list[int]) -> None:
+        self.bins[b].remove(x)
+        self.bins[t].append(x)
+        for y in back:
+            self.bins[t].remove(y)
+            self.bins[b].append(y)
+        d = self.size[x] - sum(self.size[y] for y in back)
+        self.fill[b] -= d
+        self.fill[t] += d
+        for k in (b, t):
+            if not self.bins[k] or self.fill[k] == self.capacity:  # empty or full: out of the search
+                self.pairs.pop(k, None)
+            else:
+                self.pairs[k] = self._pairs_of(k)
+
+
 def search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Local search over the underfull bins.
+    """Local search over the underfull bins, from the emptiest on.
 
-    From the emptiest bin on: each of its items looks for a fuller bin it fits (move), for a smaller item of a fuller
-    bin to change places with (one for one), or for two items of a fuller bin that together are smaller (two for one),
-    always taking the step that leaves the fuller bin least room. Moving weight from an emptier to a fuller bin
-    increases the sum of squared fills, so the search ends; emptied bins are dropped.
+    Each item of a bin looks at every other underfull bin: to move there, to change places with one item, or with two
+    that together are smaller. Weight moves only where the other bin ends fuller than this one was, which increases the
+    sum of squared fills, so the search ends; it ends when no such step is left for any bin. Emptied bins are dropped.
     """
-    size = sizes.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    open_bins = sorted((f, b) for b, f in enumerate(fill) if f < capacity)
-    where = {i: b for _, b in open_bins for i in bins[b]}
-    items = sorted((size[i], i) for i in where)
-
-    def put(i: int, b: int) -> None:
-        open_bins.remove((fill[b], b))
-        bins[b].append(i)
-        fill[b] += size[i]
-        where[i] = b
-        insort(open_bins, (fill[b], b))
-
-    def take(i: int) -> None:
-        b = where[i]
-        open_bins.remove((fill[b], b))
-        bins[b].remove(i)
-        fill[b] -= size[i]
-        insort(open_bins, (fill[b], b))
-
-    def step(b: int) -> bool:
-        room = {x: capacity - f for f, x in open_bins}
-        for x in sorted(bins[b], key=lambda i: -size[i]):
-            best: tuple[int, int, list[int]] | None = None  # room left in the fuller bin, that bin, items coming back
-            at = bisect_right(open_bins, (capacity - size[x], len(bins)))
-            for f, t in reversed(open_bins[max(0, at - 8) : at]):
-                if t != b and f + size[x] <= capacity and f >= fill[b]:
-                    best = (capacity - f - size[x], t, [])
+    full = [b for b in bins if sizes[b].sum() >= UNDERFULL * capacity]
+    low = _Open({k: list(b) for k, b in enumerate(x for x in bins if sizes[x].sum() < UNDERFULL * capacity)}, sizes, capacity)
+    done: list[list[int]] = []
+    tried: set[int] = set()  # bins without a step since the last change
+    while len(tried) < len(low.bins):
+        b = min((k for k in low.bins if k not in tried), key=lambda k: (low.fill[k], k))
+        step = None
+        for x in sorted(low.bins[b], key=lambda i: (-low.size[i], i)):
+            found = low.best(b, x)
+            if found and (step is None or found[2] > step[1][2]):
+                step = (x, found)
+                if found[2] == capacity:
                     break
-            hi = bisect_left(items, (size[x], -1))
-            for s, y in reversed(items[max(0, hi - 48) : hi]):
-                t = where[y]
-                if t != b and fill[t] >= fill[b] and size[x] - s <= room[t]:
-                    left = room[t] - size[x] + s
-                    if best is None or left < best[0]:
-                        best = (left, t, [y])
-            for f, t in reversed(open_bins[-24:]):
-                if t == b or f < fill[b] or (best and not best[0]):
-                    continue
-                own = sorted((size[y], y) for y in bins[t] if size[y] < size[x])
-                lo, up = 0, len(own) - 1
-                while lo < up:
-                    two = own[lo][0] + own[up][0]
-                    if two >= size[x]:
-                        up -= 1
-                        continue
-                    gain = size[x] - two
-                    if gain <= room[t] and (best is None or room[t] - gain < best[0]):
-                        best = (room[t] - gain, t, [own[lo][1], own[up][1]])
-                    lo += 1
-            if best:
-                _, t, back = best
-                take(x)
-                for y in back:
-                    take(y)
-                put(x, t)
-                for y in back:
-                    put(y, b)
-                return True
-        return False
-
-    stuck: set[int] = set()
-    budget = SEARCH_STEPS * max(1, len(open_bins))
-    while budget > 0:
-        low = next((b for f, b in open_bins if f and b not in stuck), None)
-        if low is None:
-            break
-        budget -= 1
-        if step(low):
-            if not bins[low]:
-                open_bins.remove((0, low))
-        else:
-            stuck.add(low)
-    return [b for b in bins if b]
-
-
-def _pack_shards(items: DataFrame, capacity: int, n_items: int, tag: str) -> DataFrame:
-    """``id, piece, size, bin, fill`` for items dealt over tasks by a hash of the item."""
-    shards = max(1, -(-n_items // SHARD_ITEMS))
+        if step is None:
+            tried.add(b)
+            continue
+        x, (t, back, _) = step
+        low.exchange(b, x, t, back)
+        for k in (b, t):
+            if not low.bins[k]:
+                del low.bins[k], low.fill[k]
+            elif low.fill[k] >= UNDERFULL * capacity:
+                done.append(low.bins.pop(k))
+                del low.fill[k]
+                low.pairs.pop(k, None)
+        tried.clear()
+        low._flatten()
+    return full + done + list(low.bins.values())
+
+
+def _pack_shards(items: DataFrame, capacities: dict[str, int], counts: dict[str, int], tag: str) -> DataFrame:
+    """Items of every container dealt over its tasks by a hash of the item, and packed."""
     kind = dict(items.dtypes)["id"]
+    shards = {c: max(1, -(-counts.get(c, 0) // SHARD_ITEMS)) for c in capacities}
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        capacity = capacities[key[0]]
         pdf = pdf.sort_values(["size", "id", "piece"], ignore_index=True)
         sizes = pdf["size"].to_numpy("int64")
         name, fill = np.empty(len(pdf), dtype=object), np.zeros(len(pdf), "int64")
         for k, b in enumerate(search(fill_first(sizes, capacity), sizes, capacity)):
-            name[b] = f"{tag}-{key[0]}-{k}"
+            name[b] = f"{key[0]}-{tag}-{key[1]}-{k}"
             fill[b] = sizes[b].sum()
-        return pd.DataFrame({"id": pdf["id"], "piece": pdf["piece"], "size": pdf["size"], "bin": name, "fill": fill})
+        return pd.DataFrame({"container": key[0], "id": pdf["id"], "piece": pdf["piece"], "size": pdf["size"], "bin": name, "fill": fill})
+
+    of = F.lit(1)
+    for c, n in shards.items():
+        of = F.when(F.col("container") == c, F.lit(n)).otherwise(of)
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "size"), of))
+    # a stated number of partitions is not coalesced, so each task keeps about one shard
+    placed = dealt.repartition(sum(shards.values()), "container", "shard")
+    return placed.groupBy("container", "shard").applyInPandas(one, PACKED.format(kind))
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "size"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(one, f"id {kind}, piece int, size bigint, bin string, fill bigint")
 
+def _counts(df: DataFrame) -> dict[str, int]:
+    return {r["container"]: r["n"] for r in df.groupBy("container").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
-    """``id, piece, start, size, bin``: the container of every item, or of every piece of a larger one.
+
+def pack(items: DataFrame, id_col: str, size_col: str, capacities: dict[str, int]) -> DataFrame:
+    """``container, id, piece, start, size, bin``: for each kind of container (a few, by name), that of every item, or of
+    every piece of a larger one.
 
     Only an item larger than the capacity is split: into full containers and one rest, which is packed with the others;
     ``start`` is the piece's first token. Items of NULL size get no container (bin NULL), items of size 0 or less count
-    as size 0 and go anywhere. Repeated ids are separate items. An empty table gives an empty result.
+    as size 0 and go anywhere. Repeated ids are separate items. An empty table gives an empty result. The items are read
+    once for all kinds.
     """
-    if capacity < 1:
+    if any(c < 1 for c in capacities.values()):
         raise ValueError("the capacity must be positive")
     rows = items.select(F.col(id_col).alias("id"), F.when(F.col(size_col).isNotNull(), F.greatest(F.col(size_col).cast("bigint"), F.lit(0))).alias("whole"))
-    cap = F.lit(capacity).cast("bigint")
-    pieces = F.greatest(F.ceil(F.col("whole") / cap).cast("int"), F.lit(1))
-    cut_up = rows.filter(F.col("whole").isNotNull()).select("id", "whole", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
-    cut_up = cut_up.withColumn("start", F.col("piece") * cap).withColumn("size", F.least(F.col("whole") - F.col("start"), cap))
-    full = cut_up.filter(F.col("size") == cap).select("id", "piece", "size", F.concat_ws("-", F.lit(f"{capacity}-full"), F.col("id").cast("string"), "piece").alias("bin"))
-    loose = cut_up.filter(F.col("size") < cap).select("id", "piece", "size")
-    n = loose.count()
-    first = cut(_pack_shards(loose, capacity, n, f"{capacity}-a"))
-    poor = first.filter(F.col("fill") < REPACK_BELOW * capacity)
-    second = _pack_shards(poor.select("id", "piece", "size"), capacity, poor.count(), f"{capacity}-b")
-    packed = first.filter(F.col("fill") >= REPACK_BELOW * capacity).unionByName(second).select("id", "piece", "size", "bin").unionByName(full)
-    done = packed.select("id", "piece", (F.col("piece") * cap).alias("start"), "size", "bin")
-    none = rows.filter(F.col("whole").isNull()).select("id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("string").alias("bin"))
+    kinds = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(n).cast("bigint").alias("cap")) for c, n in sorted(capacities.items())])
+    rows = cut(rows).select("id", "whole", F.inline(kinds))
+    pieces = F.greatest(F.ceil(F.col("whole") / F.col("cap")).cast("int"), F.lit(1))
+    cut_up = rows.filter(F.col("whole").isNotNull()).withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    cut_up = cut_up.withColumn("size", F.least(F.col("whole") - F.col("piece") * F.col("cap"), F.col("cap")))
+    whole_bin = F.concat_ws("-", "container", F.lit("full"), F.col("id").cast("string"), "piece")
+    out = cut_up.filter(F.col("size") == F.col("cap")).select("container", "id", "piece", "size", whole_bin.alias("bin"))
+    loose = cut_up.filter(F.col("size") < F.col("cap")).select("container", "id", "piece", "size")
+    most = F.lit(0).cast("bigint")
+    for c, n in capacities.items():
+        most = F.when(F.col("container") == c, F.lit(n).cast("bigint")).otherwise(most)
+    counts, k = _counts(loose), 0
+    while True:
+        packed = cut(_pack_shards(loose, capacities, counts, str(k)))
+        poor = packed.filter(F.col("fill") < UNDERFULL * most)
+        before, counts, k = counts, _counts(poor), k + 1
+        # kinds whose underfull items met in one task are done, and so are those that hardly shrink
+        again = [c for c, n in counts.items() if before[c] > SHARD_ITEMS and n < 0.9 * before[c]]
+        keep = (F.col("fill") >= UNDERFULL * most) | ~F.col("container").isin(again)
+        out = out.unionByName(packed.filter(keep).select("container", "id", "piece", "size", "bin"))
+        if not again:
+            break
+        loose = packed.filter(~keep).select("container", "id", "piece", "size")
+        counts = {c: counts[c] for c in again}
+    done = out.select("container", "id", "piece", (F.col("piece") * most).alias("start"), "size", "bin")
+    none = rows.filter(F.col("whole").isNull()).select("container", "id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("string").alias("bin"))
     return done.unionByName(none)
 
 
 def pack_all(texts: DataFrame, id_col: str, text_col: str, containers: DataFrame) -> DataFrame:
-    """``container`` and the columns of `pack`, for each row of a small table of containers."""
+    """The columns of `pack` for each row of a small table of containers."""
     sizes = texts.select(F.col(id_col).alias("id"), size_of(F.col(text_col)).alias("n"))
-    out = None
-    for r in sorted(containers.select("container", "capacity_tokens").collect(), key=lambda r: str(r["container"])):
-        part = pack(sizes, "id", "n", int(r["capacity_tokens"])).select(F.lit(r["container"]).alias("container"), "*")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return pack(sizes.limit(0), "id", "n", 1).select(F.lit("").alias("container"), "*")
-    return out
+    kinds = {str(r["container"]): int(r["capacity_tokens"]) for r in containers.select("container", "capacity_tokens").collect()}
+    return pack(sizes, "id", "n", kinds) if kinds else pack(sizes.limit(0), "id", "n", {"": 1})

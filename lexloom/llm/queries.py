@@ -139,6 +139,18 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per container: texts, pieces and tokens placed, containers filled over their capacity and texts split without need."""
+    packed = cut(p7_containers(spark, sf_dir).filter("bin is not null"))
+    cap = table(spark, sf_dir, "containers").select("container", "capacity_tokens")
+    over = packed.groupBy("container", "bin").agg(F.sum("size").alias("fill")).join(F.broadcast(cap), "container")
+    over = over.groupBy("container").agg(F.count_if(F.col("fill") > F.col("capacity_tokens")).alias("overfull"))
+    texts = packed.groupBy("container", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("tokens")).join(F.broadcast(cap), "container")
+    needless = F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens")))
+    sums = texts.groupBy("container").agg(F.count(F.lit(1)).alias("texts"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), needless.alias("split_needlessly"))
+    return sums.join(over, "container")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_passages"))
 
@@ -177,11 +189,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found, "p4_coverage": p4_coverage, "p4_records": p4_records,
         "p5_digests": p5_digests, "p5_percentiles": p5_percentiles, "p5_within_bounds": p5_within_bounds,
         "p6_found": p6_found, "p6_forms": p6_forms,
-        "p7_containers": p7_containers,
+        "p7_containers": p7_containers, "p7_fill": p7_fill,
         "p8_found": p8_found, "p8_reworded": p8_reworded,
         "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits, "p9_reasons": p9_reasons,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": oracles.P2_FOUND, "p2_groups": oracles.P2_GROUPS, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p4_coverage": oracles.P4_COVERAGE, "p4_records": oracles.P4_RECORDS, "p5_digests": oracles.P5_DIGESTS, "p5_percentiles": oracles.P5_PERCENTILES, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND, "p6_forms": oracles.P6_FORMS, "p8_found": oracles.P8_FOUND, "p8_reworded": oracles.P8_REWORDED, "p9_limits": oracles.P9_LIMITS}
+    return {"p2_found": oracles.P2_FOUND, "p2_groups": oracles.P2_GROUPS, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p4_coverage": oracles.P4_COVERAGE, "p4_records": oracles.P4_RECORDS, "p5_digests": oracles.P5_DIGESTS, "p5_percentiles": oracles.P5_PERCENTILES, "p5_within_bounds": oracles.P5_WITHIN, "p6_found": oracles.P6_FOUND, "p6_forms": oracles.P6_FORMS, "p7_fill": oracles.P7_FILL, "p8_found": oracles.P8_FOUND, "p8_reworded": oracles.P8_REWORDED, "p9_limits": oracles.P9_LIMITS}

@@ -382,7 +382,7 @@ def test_packing_is_whole_and_tight(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice([1, 30, 200, 300, 511, 512, 513, 1700, 5000])) for i in range(1500)] + [(2000, None), (2001, 0), (2002, -3), (3, 40), (3, 40)]
     df = spark.createDataFrame(rows, "doc string, n int".replace("doc string", "doc int")).withColumns({"size": F.lit(1), "bin": F.lit(1), "id": F.lit(1)})
-    out = packing.pack(df, "doc", "n", 512).toPandas()
+    out = packing.pack(df, "doc", "n", {"c": 512}).toPandas()
     placed = out[out["bin"].notna()]
     assert set(out[out["bin"].isna()]["id"]) == {2000}
     assert placed.groupby("bin")["size"].sum().max() <= 512
@@ -390,7 +390,15 @@ def test_packing_is_whole_and_tight(spark):
     assert placed["size"].sum() == total
     assert (placed.groupby("id").size()[[i for i, n in rows[:1500] if n and n <= 512 and i != 3]] == 1).all()
     assert placed["bin"].nunique() <= 1.02 * -(-total // 512) + 1
-    assert packing.pack(df.limit(0), "doc", "n", 512).count() == 0
+    assert packing.pack(df.limit(0), "doc", "n", {"c": 512}).count() == 0
+
+
+def test_underfull_bins_of_all_tasks_meet(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 100)
+    df = spark.createDataFrame([(i, 100 + 7 * (i * i % 31)) for i in range(1500)], "id int, n int")
+    bins = packing.pack(df, "id", "n", {"a": 512, "b": 700}).groupBy("container").agg(F.count_distinct("bin").alias("bins")).collect()
+    total = sum(100 + 7 * (i * i % 31) for i in range(1500))
+    assert {r["container"]: r["bins"] <= 1.06 * -(-total // {"a": 512, "b": 700}[r["container"]]) for r in bins} == {"a": True, "b": True}
 
 
 def test_search_only_improves():
@@ -402,6 +410,13 @@ def test_search_only_improves():
     before = sum(int(sizes[b].sum()) ** 2 for b in start)
     after = packing.search([list(b) for b in start], sizes, 120)
     assert sorted(i for b in after for i in b) == inside and all(sizes[b].sum() <= 120 for b in after)
+    fills = sorted((int(sizes[b].sum()), b) for b in after if sizes[b].sum() < packing.UNDERFULL * 120)
+    for f, b in fills:  # brute force: no step is left
+        for g, t in fills:
+            for x in b if b is not t else ():
+                for back in [(), *[(y,) for y in t], *itertools.combinations(t, 2)]:
+                    d = int(sizes[x] - sizes[list(back)].sum()) if back else int(sizes[x])
+                    assert d <= 0 or g + d > 120 or g + d <= f
     assert len(after) < len(start) and sum(int(sizes[b].sum()) ** 2 for b in after) > before
 
 
