@@ -5,7 +5,8 @@ letter, however its words are joined, split or cased; the longest non-overlappin
 goes to token-set similarity: its words, alone and joined with their neighbours, are looked up among the words of the
 names with up to two wrong letters. The most specific entry all of whose words were found is the value's canonical.
 
-The list is a bounded parameter and travels with the function; the values stay where they are, without any shuffle.
+The list travels with the function, in parts of a bounded number of entries; the values stay where they are. A list of
+one part needs no shuffle; of several parts each value's best entry over the parts is kept.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.lookalike import fold_python
+from lexloom.session import cut
 
-#: The longest list that is taken along (about 2 KB an entry with its word index).
-MOST_ENTRIES = 200_000
+#: Entries that are taken along at once (about 2 KB an entry with its word index); longer lists are matched in parts.
+PART_ENTRIES = 200_000
 #: Words of fewer letters (edition words) and numbers must be right.
 FUZZY_LETTERS = 6
 MOST_EDITS = 2
@@ -127,8 +129,7 @@ class CanonicalIndex:
                 by_squash.setdefault("".join(words), words)
         self.automaton = Automaton()
         for s, words in by_squash.items():
-            if len(s) >= FUZZY_LETTERS:
-                self.automaton.add_word(s, words)
+            self.automaton.add_word(s, words)
         if len(self.automaton):
             self.automaton.make_automaton()
         self.words = {w for p in self.patterns for w in p}
@@ -144,7 +145,7 @@ class CanonicalIndex:
                 self.deletes.setdefault(s, []).append(w)
         self.longest = max(map(len, self.fuzzy), default=0) + MOST_EDITS
         self.known: dict[str, tuple[int, str] | None] = {}
-        self.values: dict[str, tuple[str | None, str | None]] = {}
+        self.values: dict[str, tuple[str | None, str | None, tuple | None]] = {}
 
     def closest(self, s: str) -> tuple[int, str] | None:
         """The name word within ``MOST_EDITS`` of ``s``, the closest and then the first, with its distance."""
@@ -160,21 +161,21 @@ class CanonicalIndex:
             self.known[s] = best if best and best[0] <= MOST_EDITS else None
         return self.known[s]
 
-    def find(self, value: str) -> tuple[str | None, str | None]:
-        """``(canonical, method)`` of a value; both None if it names no entry."""
+    def find(self, value: str) -> tuple[str | None, str | None, tuple | None]:
+        """``(canonical, method, rank)`` of a value; all None if it names no entry. Lower ranks are better."""
         if value not in self.values:
             if len(self.values) >= MEMORY:
                 self.values.clear()
             self.values[value] = self._find(value)
         return self.values[value]
 
-    def _find(self, value: str) -> tuple[str | None, str | None]:
+    def _find(self, value: str) -> tuple[str | None, str | None, tuple | None]:
         folded = fold_python(value)
         tokens = [m for m in re.finditer(r"[^\W\d_]+|\d+|[€$£]", folded)]
         parts = [m[0] for m in tokens]
         found: set[str] = set()
         covered = self._embedded(parts, found)
-        exact = bool(found)
+        mentioned = set(found)
         run: list[str] = []
         for i, p in enumerate(parts):
             rest = covered.get(i, p)
@@ -190,7 +191,7 @@ class CanonicalIndex:
             elif p.isalpha():
                 run.append(p)
         self._similar(run, found)
-        return self._resolve(found, exact)
+        return self._resolve(found, mentioned)
 
     def _embedded(self, parts: list[str], found: set[str]) -> dict[int, str]:
         """Mentions the automaton finds, longest first and without overlap; returns what they leave of each part they touch."""
@@ -207,6 +208,9 @@ class CanonicalIndex:
             start = end + 1 - sum(map(len, words))
             whole_start = not flat[start].isdigit() or start == 0 or not flat[start - 1].isdigit()
             whole_end = not flat[end].isdigit() or end + 1 == len(flat) or not flat[end + 1].isdigit()
+            if end + 1 - start < FUZZY_LETTERS:  # a short name stands alone, not inside a word
+                whole_start &= start == 0 or owner[start - 1] != owner[start]
+                whole_end &= end + 1 == len(flat) or owner[end + 1] != owner[end]
             if whole_start and whole_end:
                 hits.append((start - end - 1, start, end + 1, words))
         taken = bytearray(len(flat))
@@ -270,8 +274,11 @@ class CanonicalIndex:
             elif len(best[3]) >= 2 * FUZZY_LETTERS - 2:
                 self._inside(best[3], found)
 
-    def _resolve(self, found: set[str], exact: bool) -> tuple[str | None, str | None]:
-        """The entry with most of its words found; then the one named in more words, the shorter, the first."""
+    def _resolve(self, found: set[str], mentioned: set[str]) -> tuple[str | None, str | None, tuple | None]:
+        """The entry with most of its words found; then the one named in more words, the shorter, the first.
+
+        The method is ``mention`` where the automaton found all words of the name, else ``similar``.
+        """
         best = None
         for w in found:
             for words, (canonical, size) in self.by_word.get(w, ()):
@@ -279,31 +286,50 @@ class CanonicalIndex:
                     own = sum(x in found for x in PARTS.findall(fold_python(canonical)))
                     rank = (-own, -len(words), size, canonical)
                     if best is None or rank < best[0]:
-                        best = (rank, canonical)
-        return (best[1], "mention" if exact else "similar") if best else (None, None)
+                        best = (rank, canonical, "mention" if words <= mentioned else "similar")
+        return (best[1], best[2], best[0]) if best else (None, None, None)
 
 
-def read_entries(catalog: DataFrame) -> list[tuple[str, list[str]]]:
-    """The list's names and aliases. A NULL alias list is the name alone; NULL aliases and names are left out."""
-    rows = catalog.select("canonical", "exact_aliases").filter(F.col("canonical").isNotNull()).limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"the list has more than {MOST_ENTRIES} entries; match it in parts")
-    return sorted((r["canonical"], sorted({a for a in r["exact_aliases"] or [] if a})) for r in rows)
+def read_entries(catalog: DataFrame, part: int, parts: int) -> list[tuple[str, list[str]]]:
+    """The names and aliases of one part of the list. A NULL alias list is the name alone; NULL aliases and names are left out."""
+    own = catalog.select("canonical", "exact_aliases").filter(F.col("canonical").isNotNull() & (F.pmod(F.xxhash64("canonical"), F.lit(parts)) == part))
+    return sorted((r["canonical"], sorted({a for a in r["exact_aliases"] or [] if a})) for r in own.collect())
 
 
-def map_to_canonical(values: DataFrame, catalog: DataFrame, id_col: str, value_col: str) -> DataFrame:
-    """``id, value, canonical, method``: one row for each row of ``values``.
+FOUND = "canonical string, method string, own int, words int, size int"
 
-    ``method`` is ``mention`` where the automaton found a part of the name, ``similar`` where only token-set similarity
-    did. NULL, blank and unreadable values and values that name no entry have a NULL canonical: they are the unmatched.
-    """
-    entries = read_entries(catalog)
+
+def _matched(rows: DataFrame, entries: list[tuple[str, list[str]]]) -> DataFrame:
+    """The rows with the best entry of one part of the list, and its rank."""
+    names = rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = CanonicalIndex(entries)
         for pdf in batches:
-            got = [index.find(v) if isinstance(v, str) else (None, None) for v in pdf["value"]]
-            yield pd.DataFrame({"id": pdf["id"], "value": pdf["value"], "canonical": [g[0] for g in got], "method": [g[1] for g in got]})
+            got = [index.find(v) if isinstance(v, str) else (None, None, None) for v in pdf["value"]]
+            ranks = pd.DataFrame([g[2][:3] if g[2] else (None, None, None) for g in got], columns=["own", "words", "size"], dtype="Int32", index=pdf.index)
+            yield pdf.assign(canonical=[g[0] for g in got], method=[g[1] for g in got], own=ranks["own"], words=ranks["words"], size=ranks["size"])[[*names, "canonical", "method", "own", "words", "size"]]
+
+    types = dict(rows.dtypes)
+    return rows.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in names) + ", " + FOUND)
 
+
+def map_to_canonical(values: DataFrame, catalog: DataFrame, id_col: str, value_col: str) -> DataFrame:
+    """``id, value, canonical, method``: one row for each row of ``values``.
+
+    ``method`` is ``mention`` where the automaton found all words of the name, ``similar`` where token-set similarity
+    found some of them. NULL, blank and unreadable values and values that name no entry have a NULL canonical: they are
+    the unmatched. A list of more than ``PART_ENTRIES`` entries is matched in parts, and the best entry of all parts, by
+    the same order, is kept; a value whose words belong to entries of several parts is compared by each part's own.
+    """
+    parts = max(1, -(-catalog.count() // PART_ENTRIES))
     rows = values.select(F.col(id_col).alias("id"), F.col(value_col).alias("value"))
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, value string, canonical string, method string")
+    if parts == 1:
+        return _matched(rows, read_entries(catalog, 0, 1)).select("id", "value", "canonical", "method")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    best = None
+    for part in range(parts):
+        one = _matched(rows, read_entries(catalog, part, parts)).filter(F.col("canonical").isNotNull()).select("row", F.struct("own", "words", "size", "canonical", "method").alias("m"))
+        best = one if best is None else best.unionByName(one)
+    best = best.groupBy("row").agg(F.min("m").alias("m"))
+    return rows.join(best, "row", "left").select("id", "value", F.col("m.canonical").alias("canonical"), F.col("m.method").alias("method"))

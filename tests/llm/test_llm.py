@@ -54,6 +54,19 @@ def test_canonical(index, query, want):
     assert index.find(query)[0] == want
 
 
+def test_a_list_in_parts_gives_the_same(spark, monkeypatch):
+    cat = spark.createDataFrame(CATALOG, "canonical string, exact_aliases array<string>")
+    asked = ["dovivomo", "gloneplin 5 pro", "dovivomo gloneplin", "zesegomo 120", "tistigin", None, "", "red", "dovivomo"]
+    df = spark.createDataFrame(list(enumerate(asked)), "id int, q string")
+    whole = sorted(canonical_map.map_to_canonical(df, cat, "id", "q").collect())
+    monkeypatch.setattr(canonical_map, "PART_ENTRIES", 2)
+    assert sorted(canonical_map.map_to_canonical(df, cat, "id", "q").collect()) == whole
+
+
+def test_method_tells_how_the_name_was_found(index):
+    assert index.find("gloneplin 5")[1] == "mention" and index.find("glomeplln dovivomo 5")[1] == "similar"
+
+
 def test_edit_distance_is_brute_force():
     def brute(a, b):
         d = {(-1, -1): 0} | {(i, -1): i + 1 for i in range(len(a))} | {(-1, j): j + 1 for j in range(len(b))}
