@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import let, rng_below, tokens
+from lexloom.functions.text import rng, let, rng_below, tokens
 
 # Neighbours on a QWERTY keyboard, digits included.
 KEYBOARD = {
@@ -141,26 +141,30 @@ def single(w: Column, seed: int, row: Column) -> Column:
 def compound(w: Column, seed: int, row: Column) -> Column:
     """Two typos one after the other; the first alone where the second declines."""
 
-    def after(first: Column) -> Column:
-        return let(F.coalesce(delete(first, seed + 1, row), swap(first, seed + 1, row)), lambda s: F.when(s.isNull() | (s == first), first).otherwise(s))
+    return F.when(F.length(w) >= 4, let(single(w, seed, row), lambda first: F.coalesce(single(first, seed + 1, row), first)))
 
-    return F.when(F.length(w) >= 4, let(single(w, seed, row), after))
 
-
-def query(q: Column, seed: int, row: Column) -> Column:
-    """One word of letters, three or longer, misspelled; NULL where there is none or nothing changed."""
+def query(q: Column, seed: int, row: Column, n_errors: Column | int = 1) -> Column:
+    """``n_errors`` words of letters, three or longer, misspelled, one in four of them twice; NULL where nothing changed."""
+    n = n_errors if isinstance(n_errors, Column) else F.lit(n_errors)
+    place = lambda i: F.concat_ws(".", row.cast("string"), i.cast("string"))
 
     def with_words(words: Column) -> Column:
         fit = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.get(words, i - 1).rlike("^[A-Za-z]{3,}$"))
-        at = let(fit, lambda f: F.get(f, rng_below(F.greatest(F.size(f), F.lit(1)), seed, row, "q.word")))
+        drawn = F.slice(F.array_sort(F.transform(fit, lambda i: F.struct(rng(seed, place(i), "q.word").alias("r"), i.alias("i")))), F.lit(1), n)
+
+        def with_places(places: Column) -> Column:
+            def typo(x: Column, k: Column) -> Column:
+                at = place(k + 1)
+                twice = rng_below(4, seed, at, "q.twice") == 0
+                return F.coalesce(F.when(twice, compound(x, seed, at)).otherwise(single(x, seed, at)), x)
 
-        def with_place(i: Column) -> Column:
-            new = let(F.get(words, i - 1), lambda x: single(x, seed, row))
-            return F.array_join(F.concat(F.slice(words, F.lit(1), i - 1), F.array(new), F.slice(words, i + 1, F.size(words))), " ", "\0")
+            made = F.transform(words, lambda x, k: F.when(F.array_contains(places, k + 1), typo(x, k)).otherwise(x))
+            return F.when(F.size(places) > 0, F.array_join(made, " "))
 
-        return F.when(at.isNotNull(), let(F.coalesce(at, F.lit(1)), with_place))
+        return let(F.transform(drawn, lambda s: s["i"]), with_places)
 
-    return let(let(tokens(q), with_words), lambda out: F.when((out != q) & ~out.contains("\0"), out))
+    return let(let(tokens(q), with_words), lambda out: F.when(out != q, out))
 
 
 # Weights of the simpler mix of operators.

@@ -86,8 +86,20 @@ def source_label(first: Column, second: Column) -> Column:
     return F.when(second, F.lit("model+fallback")).when(first, F.lit("model")).otherwise(F.lit("none"))
 
 
-def response(df: DataFrame, before: str, after: str, model: str) -> DataFrame:
-    """The response columns: changed, confidence and suggestions beside both texts."""
+def response(df: DataFrame, before: str, after: str, source: str, latency: str, suggestions: str) -> DataFrame:
+    """The response columns of the four stages: where the correction came from, how sure it is, how long it took, and the
+    fallback's suggestions (an array of texts, NULL for none). Unchanged texts are sure; else the similarity counts."""
+    a, b = F.col(before), F.col(after)
+    likeness = F.bround(similarity(F.lower(a), F.lower(b)), 3)
+    return df.select(
+        "id", a.alias("original_query"), b.alias("corrected_query"), changed(a, b).alias("changed"), F.col(source).alias("correction_source"),
+        F.when(changed(a, b), likeness).otherwise(F.lit(1.0)).alias("confidence"), F.round(latency, 2).alias("latency_ms"),
+        F.transform(F.coalesce(suggestions, F.array().cast("array<string>")), suggestion).alias("suggestions"),
+    )
+
+
+def response_v2(df: DataFrame, before: str, after: str, model: str) -> DataFrame:
+    """The response columns of one model: changed, its careful confidence and the output as a suggestion."""
     a, b = F.col(before), F.col(after)
     return df.select(
         "id", a.alias("original_query"), b.alias("corrected_query"), changed(a, b).alias("changed"), F.col(model).alias("model_used"),

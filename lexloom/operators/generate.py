@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import typos
@@ -37,10 +37,12 @@ def example(wrong: Column, right: Column, category: str) -> list[Column]:
 
 
 def brand_products(catalog: DataFrame, templates: list[str], seed: int, per_pair: int = 3) -> DataFrame:
-    """Query typos of ``brand, product`` in a template, ``per_pair`` for each."""
+    """Query typos of ``brand, product`` in a template, ``per_pair`` for each: one wrong word in 65 of 100, two in 28, three in 7."""
     rows = catalog.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_pair)))).withColumn("row", _row_id("brand", "product", "k"))
     rows = rows.withColumn("clean", _filled(templates, seed, F.col("row"), b=F.col("brand"), p=F.col("product")))
-    rows = rows.withColumn("wrong", typos.query(F.col("clean"), seed, F.col("row"))).filter("wrong is not null")
+    r = rng_below(100, seed, F.col("row"), "errors")
+    n = F.when(r < 65, 1).when(r < 93, 2).otherwise(3)
+    rows = rows.withColumn("wrong", typos.query(F.col("clean"), seed, F.col("row"), n)).filter("wrong is not null")
     return rows.select(*example(F.col("wrong"), F.col("clean"), "ecom_query_typo")).distinct()
 
 
@@ -144,10 +146,48 @@ def everyday(words: DataFrame, templates: list[str], seed: int) -> DataFrame:
 
 def external(pairs: DataFrame) -> DataFrame:
     """Outside pairs that could come from a shop: both words plausible, not too far apart; and their right words as identities."""
-    ok = pairs.filter(domain_plausible(F.col("wrong")) & domain_plausible(F.col("right")) & external_gate(F.col("wrong"), F.col("right")) & (F.col("wrong") != F.col("right")))
+    ok = plausible_pairs(pairs)
     return ok.select(*example(F.col("wrong"), F.col("right"), "external_word")).unionByName(ok.select(*example(F.col("right"), F.col("right"), "identity_external"))).distinct()
 
 
+def plausible_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of different words whose right word is plausible in a shop and not too far from the wrong one."""
+    low = pairs.select(F.lower(F.trim("wrong")).alias("wrong"), F.lower(F.trim("right")).alias("right"))
+    return low.filter((F.col("wrong") != "") & domain_plausible(F.col("right")) & external_gate(F.col("wrong"), F.col("right")) & (F.col("wrong") != F.col("right"))).distinct()
+
+
+def in_context(pairs: DataFrame, templates: list[str]) -> DataFrame:
+    """Outside pairs inside each template with ``{x}``, and their right words in it as identities."""
+    rows = plausible_pairs(pairs).withColumn("t", F.explode(F.array(*[F.lit(t) for t in templates])))
+    wrong, right = F.replace("t", F.lit("{x}"), F.col("wrong")), F.replace("t", F.lit("{x}"), F.col("right"))
+    return rows.select(*example(wrong, right, "external_context")).unionByName(rows.select(*example(right, right, "identity_external"))).distinct()
+
+
+def existing_pairs(pairs: DataFrame) -> DataFrame:
+    """Known pairs as they are: at most 15 words on either side, different by more than case; one word alone is a vocabulary typo."""
+    low = pairs.select(F.trim("wrong").alias("wrong"), F.trim("right").alias("right"))
+    words = lambda c: F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
+    ok = low.filter((words("wrong").between(1, 15)) & words("right").between(1, 15) & (F.lower("wrong") != F.lower("right")))
+    kind = F.when((words("wrong") == 1) & (words("right") == 1), F.lit("vocab_typo")).otherwise(F.lit("ecom_query_typo"))
+    return ok.select(F.col("wrong").alias("input_text"), F.col("right").alias("target_text"), kind.alias("category")).distinct()
+
+
+def identity_variants(names: DataFrame, name: str, templates: list[str], category: str) -> DataFrame:
+    """Each name of a list in each template with ``{x}``, as it should stay."""
+    rows = names.filter(F.col(name).isNotNull()).withColumn("t", F.explode(F.array(*[F.lit(t) for t in templates])))
+    text = F.replace("t", F.lit("{x}"), F.col(name))
+    return rows.select(*example(text, text, category)).distinct()
+
+
+def typos_by_quota(queries: DataFrame, quotas: dict[str, int], seed: int) -> DataFrame:
+    """Query typos of the simpler mix of operators, dealt over kinds by percent: ``id, input_text, target_text, category``."""
+    word = F.element_at(F.split("q", " "), 1)
+    dealt = quota_split(queries, "id", quotas, seed).withColumn("w", word)
+    wrong = F.concat(typos.single_simple(F.col("w"), seed, F.col("id")), F.substr("q", F.length("w") + 1))
+    rows = dealt.withColumn("wrong", wrong).filter("wrong is not null and wrong <> q")
+    return rows.select("id", F.col("wrong").alias("input_text"), F.col("q").alias("target_text"), F.concat(F.lit("ecom_"), "kind", F.lit("_typo")).alias("category"))
+
+
 def oversampled(df: DataFrame, times: dict[str, int]) -> DataFrame:
     return oversample(df, "category", times)
 
@@ -175,8 +215,3 @@ def sampled_cross(left: DataFrame, right: DataFrame, right_key: str, per_left: i
     rows = left.join(F.broadcast(listed)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(per_left))))
     at = rng_below(F.greatest(F.size("_all"), F.lit(1)), seed, F.concat_ws(" ", F.col(left_key).cast("string"), F.col("_k").cast("string")), "partner")
     return rows.withColumn(right_key, F.get("_all", at)).drop("_all", "_k").distinct()
-
-
-def ranked(df: DataFrame, by: str, seed: int) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("input_text"))))
-    return df.withColumn("rank", F.row_number().over(w))

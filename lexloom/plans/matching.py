@@ -121,12 +121,12 @@ _ENT = "(values " + ", ".join("('" + w.replace("'", "''") + "', '" + k + "')" fo
 
 
 
-def _one_edit(a: str, b: str) -> str:
+def _one_edit(a: str, b: str, swaps: bool = True) -> str:
     """One letter wrong, missing, extra or exchanged, by trying every place; DuckDB's own distances count bytes."""
     cut = lambda x: f"substr({x}, 1, i - 1) || substr({x}, i + 1)"
     some = lambda x, cond: f"len(list_filter(range(1, length({x}) + 1), lambda i: {cond})) > 0"
     swap = f"substr({a}, 1, i - 1) || substr({a}, i + 1, 1) || substr({a}, i, 1) || substr({a}, i + 2) = {b}"
-    return f"({some(a, f'{cut(a)} = {b}')} or {some(b, f'{cut(b)} = {a}')} or (length({a}) = length({b}) and ({some(a, f'{cut(a)} = {cut(b)}')} or {some(a, swap)})))"
+    return f"({some(a, f'{cut(a)} = {b}')} or {some(b, f'{cut(b)} = {a}')} or (length({a}) = length({b}) and ({some(a, f'{cut(a)} = {cut(b)}')}{f' or {some(a, swap)}' if swaps else ''})))"
 
 
 SQL = {
@@ -147,9 +147,10 @@ p as (select word, key, canonical from w, {_KEYS} k where word not in {_DENY} an
 m as (select * from p where {_one_edit('word', 'key')})
 select word, arg_min(canonical, key) as canonical, 1 as distance from m group by word""",
     "protect_lookup": f"""
-with t as (select distinct x as token from (select unnest({_TOK.format('query')}) as x from correction_requests where query is not null) where regexp_full_match(x, '[ -~]+')),
+with t as (select distinct x as token, upper(x) as u from (select unnest({_TOK.format('query')}) as x from correction_requests where query is not null)),
 e as (select * from {_ENT} v(entity, category)),
-m as (select token, entity, category, levenshtein(upper(trim(token)), entity) as d from t, e where regexp_full_match(entity, '[ -~]+') and abs(length(token) - length(entity)) <= 1 and levenshtein(upper(trim(token)), entity) <= 1)
+p as (select token, u, entity, category from t, e where u = entity or abs(length(u) - length(entity)) <= 1),
+m as (select token, entity, category, case when u = entity then 0 else 1 end as d from p where u = entity or {_one_edit('u', 'entity', swaps=False)})
 select token, arg_min(entity, {{'d': d, 'e': entity}}) as entity, arg_min(category, {{'d': d, 'e': entity}}) as category, min(d) as distance from m group by token""",
     "protected_statistics": "select * from (values " + ", ".join(f"('{k}', {len(set(v))})" for k, v in protect.ENTITIES.items()) + f", ('all', {len(set().union(*protect.ENTITIES.values()))})) t(category, n)",
     "lookup_default": "select n_name, coalesce(r_name, 'other') as category from nation left join (select * from region where r_name <> 'ASIA') on n_regionkey = r_regionkey",

@@ -100,26 +100,29 @@ def _sql(name: str, w: str, seed: int = SEED) -> str:
     raise KeyError(name)
 
 
-def _single(w: str, source: str) -> str:
+def _single(w: str, source: str, seed: int = SEED) -> str:
     """The weighted single typo over a word column of a source with an id; gives ``id, q, w, typo``."""
-    made = ", ".join(f"{_sql(k, 'w')} as t_{k}" for k in typos.WEIGHTS)
+    made = ", ".join(f"{_sql(k, 'w', seed)} as t_{k}" for k in typos.WEIGHTS)
     upto, arms = 0, []
     for k, v in typos.WEIGHTS.items():
         upto += v
         arms.append(f"when r < {upto} then t_{k}")
-    draws = ", ".join(f"(select case {' '.join(arms)} end from (select {sql_rng(f'1.{k}', 100)} as r))" for k in range(7))
+    draws = ", ".join(f"(select case {' '.join(arms)} end from (select {sql_rng(f'1.{k}', 100, seed=seed)} as r))" for k in range(7))
     return f"(with m as (select id, q, w, {made} from (select id, q, {w} as w from {source})) select id, q, w, list_filter([{draws}], lambda t: t is not null and t <> w and length(t) >= 2)[1] as typo from m)"
 
 
-def _query(source: str) -> str:
+def _query(source: str, errors: str = "1") -> str:
     """The query typo over a source of ``id, q``; gives ``id, q, typo``."""
     return f"""
-with t as (select id, q, list_filter(string_split(q, ' '), lambda w: w <> '') as a from {source}),
-f as (select *, list_filter(range(1, len(a) + 1), lambda i: regexp_full_match(a[i], '[A-Za-z]{{3,}}')) as fit from t),
-p as (select *, fit[{sql_rng('q.word', 'greatest(len(fit), 1)')} + 1] as i from f),
-s as (select id, typo from {_single('w', "(select id, q, a[i] as w from p)")})
-select p.id as id, q, case when len(fit) > 0 and s.typo is not null and array_to_string(list_concat(a[1:i - 1], [s.typo], a[i + 1:]), ' ') <> q
-  then array_to_string(list_concat(a[1:i - 1], [s.typo], a[i + 1:]), ' ') end as typo from p join s using (id)"""
+with t as (select id, q, {errors} as n, list_filter(string_split(q, ' '), lambda w: w <> '') as a from {source}),
+u as (select id as qid, n, unnest(a) as w, generate_subscripts(a, 1) as i from t),
+e as (select *, concat_ws('.', qid, i) as id from u where regexp_full_match(w, '[A-Za-z]{{3,}}')),
+p as (select id, w as q, qid, i, w from (select *, row_number() over (partition by qid order by {sql_rng('q.word', 4294967296)}, i) as k from e) where k <= n),
+one as (select id, w as q, w, typo as x from {_single('w', 'p')}),
+two as (select id, typo as y from {_single('x', 'one', SEED + 1)}),
+m as (select id, case when {sql_rng('q.twice', 4)} = 0 then case when length(w) >= 4 then coalesce(y, x) end else x end as new from one join two using (id)),
+r as (select u.qid as id, string_agg(coalesce(m.new, u.w), ' ' order by u.i) as typo, count(p.id) as places from u left join p on p.qid = u.qid and p.i = u.i left join m on m.id = p.id group by u.qid)
+select t.id, t.q, case when places > 0 and typo <> t.q then typo end as typo from t left join r on r.id = t.id"""
 
 
 def _keys(edge: int) -> str:
@@ -131,6 +134,7 @@ def _keys(edge: int) -> str:
 _GENERIC = f"(select id, ({MODIFIERS})[{sql_rng('modifier', len(MODIFIERS))} + 1] || ' ' || q as q from {SQL_PART})"
 _BRANDED = f"""(with c as (select distinct lower(string_split(canonical, ' ')[1]) as b, lower(string_split(canonical, ' ')[2]) as p from brand_catalog where len(string_split(canonical, ' ')) >= 2),
   k as (select b, p, concat_ws(' ', b, p, k) as id from c, (values (1), (2), (3)) t(k)) select id, replace(replace(({TEMPLATES})[{sql_rng('template', len(TEMPLATES))} + 1], '{{b}}', b), '{{p}}', p) as q from k)"""
+_ERRORS = f"(case when {sql_rng('errors', 100)} < 65 then 1 when {sql_rng('errors', 100)} < 93 then 2 else 3 end)"
 _SPACE = f"""
 with t as (select id, list_filter(string_split(q, ' '), lambda w: w <> '') as a from {SQL_PART}),
 r as (select *, {sql_rng('b.mode', 2)} as mode, {sql_rng('b.join', 'greatest(len(a) - 1, 1)')} + 1 as i, list_filter(range(1, len(a) + 1), lambda k: length(a[k]) >= 6) as long from t),
@@ -142,12 +146,10 @@ select id, case when len(a) < 2 then null when mode = 0 then array_to_string(lis
 SQL = {f"typo_{k}": f"select id, {_sql(k, 'w')} as typo from {SQL_PART}" for k in ["keyboard", "delete", "swap", "insert", "double", "omit", "phonetic"]} | {
     "typo_space": _SPACE,
     "typo_single": f"select id, typo from {_single('w', SQL_PART)}",
-    "typo_compound": f"""
-with f as (select id, w, typo as x from {_single('w', SQL_PART)}), s as (select id, w, x, coalesce({_sql('delete', 'x', SEED + 1)}, {_sql('swap', 'x', SEED + 1)}) as y from f)
-select id, case when length(w) >= 4 then case when y is null or y = x then x else y end end as typo from s""",
+    "typo_compound": f"with f as (select id, w as q, typo as x from {_single('w', SQL_PART)}) select id, case when length(q) >= 4 then coalesce(typo, w) end as typo from {_single('x', 'f', SEED + 1)}",
     "typo_query": f"select id, typo from ({_query(SQL_PART)})",
     "gen_generic": f"select id, typo as input_text, q as target_text, 'generic_product_typo' as category from ({_query(_GENERIC)}) where typo is not null",
-    "gen_brand_product": f"select distinct typo as input_text, q as target_text, 'ecom_query_typo' as category from ({_query(_BRANDED)}) where typo is not null",
+    "gen_brand_product": f"select distinct typo as input_text, q as target_text, 'ecom_query_typo' as category from ({_query(_BRANDED, _ERRORS)}) where typo is not null",
     "gen_space": f"select typo as input_text, q as target_text, 'space_error' as category from ({_SPACE}) join {SQL_PART} using (id) where typo is not null and typo <> q",
     "gen_vocab": f"select typo as input_text, w as target_text, 'vocab_typo' as category from {_single('w', "(select distinct w as id, w as q, w from " + SQL_PART + " where regexp_full_match(w, '[a-z]{4,15}'))")} where typo is not null",
     "gen_quota": f"select case when r < 40 then 'brand' when r < 65 then 'product' when r < 95 then 'query' else 'model' end as kind, count(*) as n from (select {sql_rng('quota', 100)} as r from {SQL_PART}) group by kind",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import gzip
-import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -81,13 +80,17 @@ def csv_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def quoted_pairs(raw: DataFrame) -> DataFrame:
-    """``wrong, right`` of lines split at ``","``, else at the first comma; a header is a line that says noisy or clean."""
+    """``wrong, right`` in lower case of lines split at ``","``, else at the first comma. Only a file's first line can be
+    its header, and is one if it says noisy or clean. A line with several ``","`` is split at its first comma."""
     v = F.trim("value")
-    quoted = F.instr(v, '","') > 0
+    quoted = F.size(F.split(v, '","')) == 2
     a = F.when(quoted, F.regexp_extract(v, r'^"?(.*?)","', 1)).otherwise(F.regexp_extract(v, r"^([^,]*),", 1))
     b = F.when(quoted, F.regexp_extract(v, r'^"?.*?","(.*?)"?$', 1)).otherwise(F.regexp_extract(v, r"^[^,]*,(.*)$", 1))
-    rows = raw.filter((v != "") & v.contains(",") & ~F.lower(v).rlike("noisy|clean"))
-    return rows.select(F.trim(a).alias("wrong"), F.trim(b).alias("right")).filter("wrong <> '' and right <> ''")
+    head = raw.groupBy("file").agg(F.min("ord").alias("_first"))
+    header = (F.col("ord") == F.col("_first")) & F.lower(v).rlike("noisy|clean")
+    rows = raw.join(F.broadcast(head), "file").filter((v != "") & v.contains(",") & ~header)
+    bare = lambda c: F.lower(F.regexp_replace(F.trim(c), r'^"+|"+$', ""))
+    return rows.select(bare(a).alias("wrong"), bare(b).alias("right")).filter("wrong <> '' and right <> ''")
 
 
 SEPARATORS = ["->", "=>", "\t", "|", ",", ":"]
@@ -96,14 +99,14 @@ SEPARATORS = ["->", "=>", "\t", "|", ",", ":"]
 def _ahead(raw: DataFrame) -> DataFrame:
     """Each line with the last ``$word`` before it in its file."""
     w = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn("marker", F.last(F.when(F.trim("value").startswith("$"), F.trim(F.substring(F.trim("value"), 2, 1000))), ignorenulls=True).over(w))
+    return raw.withColumn("marker", F.last(F.when(F.trim("value").startswith("$"), F.trim(F.substr(F.trim("value"), F.lit(2)))), ignorenulls=True).over(w))
 
 
 def external_pairs(raw: DataFrame) -> DataFrame:
     """``wrong, right, ord`` of lines in any of the usual forms.
 
     The first separator of ``SEPARATORS`` that occurs splits the line. A ``$word`` line names the right word of the bare
-    lines after it; a line of exactly two words is a pair.
+    lines after it; a line of exactly two words is a pair. A pair of equal sides is none.
     """
     v = F.trim("value")
     rows = _ahead(raw).filter((v != "") & ~v.startswith("#") & ~v.startswith("$"))
@@ -114,7 +117,7 @@ def external_pairs(raw: DataFrame) -> DataFrame:
     words = F.filter(F.split(v, r"\s+"), lambda w: w != "")
     wrong = F.when(sep.isNotNull(), F.substring(v, F.lit(1), at - 1)).when(F.col("marker").isNotNull(), v).when(F.size(words) == 2, words[0])
     right = F.when(sep.isNotNull(), F.substring(v, at + F.length(sep), F.length(v))).when(F.col("marker").isNotNull(), F.col("marker")).when(F.size(words) == 2, words[1])
-    return rows.select(F.lower(F.trim(wrong)).alias("wrong"), F.lower(F.trim(right)).alias("right"), "ord").filter("wrong <> '' and right <> ''")
+    return rows.select(F.lower(F.trim(wrong)).alias("wrong"), F.lower(F.trim(right)).alias("right"), "ord").filter("wrong <> '' and right <> '' and wrong <> right")
 
 
 def block_pairs(raw: DataFrame) -> DataFrame:
@@ -182,19 +185,9 @@ def embedded_examples(df: DataFrame, blob: str) -> DataFrame:
     return rows.select(F.from_json("j", "input_text string, target_text string").alias("r")).select("r.*").filter("input_text is not null")
 
 
-def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 def evaluation_rows(spark: SparkSession, path: str) -> DataFrame:
     """Labelled evaluation queries of a JSON array."""
     schema = "id string, query string, expected string, length string, difficulty string, category string, notes string"
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def benchmark_summary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
-
-
-def as_json_line(row: dict) -> str:
-    return json.dumps(row, ensure_ascii=False)
