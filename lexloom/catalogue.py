@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import correction, evaluation, matching, pairs, texts, typo_plans
+from lexloom.plans import correction, evaluation, matching, pairs, reports, texts, typo_plans
 
-MODULES = [evaluation, texts, typo_plans, pairs, matching, correction]
+MODULES = [evaluation, texts, typo_plans, pairs, matching, correction, reports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import tokens
+from lexloom.functions.text import let, tokens
 
 
 def positional_matches(a: Column, b: Column) -> Column:
@@ -25,14 +25,17 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def word_f1(a: Column, b: Column) -> Column:
     """F1 of the words counted as often as they occur; 0 where nothing is shared or a side is empty."""
-    x, y = tokens(a), tokens(b)
 
     def times(words: Column, w: Column) -> Column:
         return F.size(F.filter(words, lambda v: v == w))
 
-    shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, w: s + F.least(times(x, w), times(y, w)))
-    p, r = shared / F.size(x), shared / F.size(y)
-    return F.when(shared == 0, 0.0).otherwise(2 * p * r / (p + r))
+    def of(x: Column, y: Column) -> Column:
+        shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, w: s + F.least(times(x, w), times(y, w)))
+        # 2pr / (p + r) with p and r the shares of either side
+        return F.when(F.size(x) + F.size(y) == 0, 0.0).otherwise(2 * shared / (F.size(x) + F.size(y)))
+
+    # both token lists are made once
+    return let(tokens(a), lambda x: let(tokens(b), lambda y: of(x, y)))
 
 
 def character_positions(a: Column, b: Column) -> Column:

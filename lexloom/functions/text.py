@@ -221,3 +221,22 @@ def suggestion(c: Column) -> Column:
 
 def without_marks(c: Column) -> Column:
     return F.regexp_replace(c, r"\s", "")
+
+
+def vocabulary_gate(c: Column, least: int, most: int | None = None) -> Column:
+    """A word of letters alone, of a length in bounds."""
+    return c.rlike("^[A-Za-z]+$") & (F.length(c) >= least) & (F.length(c) <= most if most else F.lit(True))
+
+
+def padded(c: Column, width: int) -> Column:
+    """A whole number with leading zeros."""
+    return F.lpad(c.cast("string"), width, "0")
+
+
+def thousands(c: Column) -> Column:
+    return F.format_number(c, 0)
+
+
+def percent(share: Column, decimals: int) -> Column:
+    """A share as a percentage, rounded half up before it is written."""
+    return F.format_string(f"%.{decimals}f%%", F.round(share * 100, decimals))

@@ -24,9 +24,9 @@ def list_models() -> list[str]:
     return sorted({DEFAULT_MODEL, *_MODELS})
 
 
-def resolve_model(name: Column) -> Column:
-    """A registered name, or the default for an unknown or missing one."""
-    return F.when(name.isin(list_models()), name).otherwise(F.lit(DEFAULT_MODEL))
+def resolve_model(name: Column, models: list[str] | None = None) -> Column:
+    """A registered name, or one of ``models``; the default for an unknown or missing one."""
+    return F.when(name.isin(list_models() if models is None else models), name).otherwise(F.lit(DEFAULT_MODEL))
 
 
 def dictionary_model(df: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import same_text
+from lexloom.functions import metrics
+from lexloom.functions.text import is_ascii, same_text
 
 
 def scored(results: DataFrame) -> DataFrame:
@@ -137,3 +138,50 @@ def last_rows(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
 def progress(df: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key)
     return df.select(key, order, F.round(F.row_number().over(w.orderBy(order)) / F.count(F.lit(1)).over(w), 6).alias("done"))
+
+
+def benchmark_summary(results: DataFrame) -> DataFrame:
+    """Per model, and per model and category: exact matches, identities left alone, token accuracy, character error, latency.
+
+    Overall rows have a NULL category. Failed calls are left out; a slice without identities has a NULL ``no_harm_pct``.
+    """
+    a, b = F.col("corrected"), F.col("expected")
+    same = same_text(F.col("query"), b)
+    most = metrics.token_max(a, b)
+    rows = results.filter("error = ''").select(
+        "model", "category", "latency_ms", same_text(a, b).cast("int").alias("ok"), F.when(same, same_text(a, F.col("query")).cast("int")).alias("kept"),
+        F.when(most == 0, F.lit(0.0)).otherwise(metrics.positional_matches(a, b) / most).alias("tok"), (F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(b))).alias("cer"),
+    )
+    out = rows.groupingSets([["model"], ["model", "category"]], "model", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.round(100 * F.avg("ok"), 4).alias("exact_pct"), F.round(100 * F.avg("kept"), 4).alias("no_harm_pct"), F.round(F.avg("tok"), 6).alias("token_acc"),
+        F.round(F.avg("cer"), 6).alias("cer"), F.round(F.avg("latency_ms"), 4).alias("mean_ms"), F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95))).alias("p"),
+    )
+    return out.select("model", "category", "n", "exact_pct", "no_harm_pct", "token_acc", "cer", "mean_ms", F.round(F.col("p")[0], 4).alias("p50_ms"), F.round(F.col("p")[1], 4).alias("p95_ms"))
+
+
+def most_common(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The ``n`` most common values, ties by name."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)
+
+
+def corpus_counters(examples: DataFrame) -> DataFrame:
+    """``rows, targets, pairs, non_ascii, leaked_targets, leaked_pairs`` of a corpus whose rows name their split."""
+    e = examples.withColumn("train", F.lower(F.trim("split_name")) == "train")
+    text = F.concat(F.coalesce("input_text", F.lit("")), F.coalesce("target_text", F.lit("")))
+    one = e.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~is_ascii(text)).alias("non_ascii"))
+
+    def both(keys: list[str], all_name: str, leaked_name: str) -> DataFrame:
+        sides = e.dropna(subset=keys).groupBy(*keys).agg(F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("v"))
+        return sides.agg(F.count(F.lit(1)).alias(all_name), F.count_if(F.col("t") & F.col("v")).alias(leaked_name))
+
+    # one row each
+    return one.crossJoin(both(["target_text"], "targets", "leaked_targets")).crossJoin(both(["input_text", "target_text"], "pairs", "leaked_pairs"))
+
+
+def report(results: DataFrame, hardest_rows: int = 60) -> str:
+    """A report in Markdown: the summary of each model, its accuracy by slice, and the hardest queries beside each other."""
+    from lexloom.sources.sinks import markdown_table
+
+    summary = benchmark_summary(results).filter("category is null").drop("category").orderBy("model")
+    parts = ["# Evaluation", "", markdown_table(summary), "## Accuracy by slice", "", markdown_table(accuracy_by_slice(results)), "## Hardest queries", "", markdown_table(hardest(results, hardest_rows))]
+    return "\n".join(parts)

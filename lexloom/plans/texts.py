@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators import cleaning
-from lexloom.plans.common import sql_norm
+from lexloom.plans.common import SQL_PART, part_words, sql_norm
 from lexloom.session import table
 
 
@@ -34,7 +34,7 @@ QUERIES = {
     "domain_plausible": lambda s, d: _words(s, d).filter(T.domain_plausible(F.col("word"))),
     "clean_title": lambda s, d: _titles(s, d).select("doc_id", T.clean_title(F.col("text")).alias("title")).filter("title is not null"),
     "digit_runs": lambda s, d: _requests(s, d).select("request_id", F.array_join(T.digit_runs(F.col("query")), " ").alias("runs")).filter("runs <> ''"),
-    "model_numbers": lambda s, d: _docs(s, d).select("doc_id", F.explode(T.model_numbers(F.col("text"))).alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("n")),
+    "model_numbers": lambda s, d: part_words(s, d).select("id", F.explode(T.model_numbers(F.concat_ws(" ", "q", F.concat(F.upper(F.substring("w", 1, 3)), F.lit("-"), F.col("id").cast("string"), F.lit("x")), F.lit("A1")))).alias("model")),
     "query_length_gate": lambda s, d: _requests(s, d).filter(T.query_length_gate(F.col("query"))).select("request_id"),
     "having_vocab": lambda s, d: cleaning.vocabulary(_docs(s, d), F.col("text"), 20),
     "first_terms": lambda s, d: cleaning.first_terms(_titles(s, d), F.col("text")).filter("n >= 2"),
@@ -76,7 +76,7 @@ with a as (select doc_id, text, trim(regexp_replace(trim(regexp_replace(lower(re
 b as (select doc_id, text, list_filter(string_split(x, ' '), lambda w: w <> '') as w from a)
 select doc_id, array_to_string(w[1:7], ' ') as title from b where regexp_full_match(text, '[\\x00-\\x7F]*') and len(w) between 2 and 15 and length(array_to_string(w[1:7], ' ')) between 5 and 80""",
     "digit_runs": f"select request_id, array_to_string(regexp_extract_all(query, '[0-9]+'), ' ') as runs from {_Q} where regexp_matches(query, '[0-9]')",
-    "model_numbers": "with m as (select unnest(regexp_extract_all(text, '\\b([A-Z]{1,5}-?\\d{2,5}[A-Za-z]*)\\b', 1)) as model from documents where text is not null) select model, count(*) as n from m where length(model) >= 3 group by model",
+    "model_numbers": f"select id, model from (select id, unnest(regexp_extract_all(q || ' ' || upper(substr(w, 1, 3)) || '-' || id || 'x A1', '\\b([A-Z]{{1,5}}-?\\d{{2,5}}[A-Za-z]*)\\b', 1)) as model from {SQL_PART}) where length(model) >= 3",
     "query_length_gate": f"select request_id from {_Q} where length(query) > 2 and length(query) < 60 and len({_TOK.format('query')}) between 2 and 8",
     "having_vocab": "with w as (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents where text is not null) select word, count(*) as n from w group by word having count(*) >= 20",
     "first_terms": f"""

@@ -10,11 +10,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexloom.functions import text, typos
-from lexloom.operators import cleaning, correct, masking, matching, protect
+from lexloom.operators import cleaning, correct, evaluate, harness, masking, matching, protect
 from lexloom.operators.skew import join_back
 from lexloom.plans import correction as correction_plans
 from lexloom.plans import matching as matching_plans
 from lexloom.plans import pairs as pairs_plans
+from lexloom.plans import reports
 from lexloom.plans.pairs import _lines
 from lexloom.sources import readers, sinks
 from lexloom.streaming import streams
@@ -178,6 +179,34 @@ def test_files(spark, tmp_path):
     sinks.append_results(res, str(tmp_path / "r"), ["id", "model"])
     assert spark.read.parquet(str(tmp_path / "r")).count() == 2
     assert readers.quoted_pairs(_lines(spark, ["noisy,clean", '"a","b"', "c,d"])).count() == 2
+    later = [(r["wrong"], r["right"]) for r in readers.quoted_pairs(_lines(spark, ["Vacum,Vacuum", '"Clener","CLEANER"', "noisy,clean", '"a, b","c"'])).collect()]
+    assert sorted(later) == [("a, b", "c"), ("clener", "cleaner"), ("noisy", "clean"), ("vacum", "vacuum")]
+    long = "w" * 3000
+    got = [(r["wrong"], r["right"]) for r in readers.external_pairs(_lines(spark, ["same -> same", "x => X", "a b", "b b", "$" + long, "bare", long])).collect()]
+    assert got == [("a", "b"), ("bare", long)]
+
+
+def test_harness_tries_again_and_keeps_errors(spark):
+    state = {"calls": 0}
+
+    def flaky(text):
+        state["calls"] += 1
+        if state["calls"] % 2:
+            raise RuntimeError("busy")
+        return text + "!"
+
+    q = spark.createDataFrame([(1, "a"), (2, None)], "id int, query string").coalesce(1)
+    out = {(r["model"], r["id"]): r for r in harness.run_models(q, "query", {"flaky": flaky, "dead": reports._broken}, pause=0.0).collect()}
+    assert len(out) == 4 and out["flaky", 1]["corrected"] == "a!" and out["flaky", 2]["corrected"] == "!" and out["flaky", 1]["error"] == ""
+    assert out["dead", 1]["error"] == "ValueError: no model" and out["dead", 1]["corrected"] == "" and not out["dead", 1]["changed"]
+    assert harness.run_models(q.limit(0), "query", {"flaky": flaky}).count() == 0
+
+
+def test_report_has_its_sections(spark):
+    rows = [("m", "1", "a b", "a c", "short", "L2", "x", "a c", "", 5.0, 1), ("n", "1", "a b", "a c", "short", "L2", "x", "a b", "", 9.0, 2), ("n", "2", "q", "q", "short", "L1", "y", "", "boom", 0.0, 3)]
+    df = spark.createDataFrame(rows, "model string, id string, query string, expected string, length string, difficulty string, category string, corrected string, error string, latency_ms double, result_id int")
+    text = evaluate.report(df)
+    assert text.count("\n## ") == 2 and "| m | 1 | 100.0 |" in text and "| n | 1 | 0.0 |" in text
 
 
 def test_streams(spark, tmp_path):
