@@ -48,17 +48,17 @@ BROADCAST_ROWS = 200_000
 #: Characters of an end in which marks and blanks are looked for first; a longer run of them is looked for in the whole text.
 NEAR_END = 240
 SIGNS = r"…|�|\.\.\.|\[\.\.\.\]|\[…\]|\[truncated\]"
+BACK_SIGNS = r"…|�|\.\.\.|\]\.\.\.\[|\]…\[|\]detacnurt\["
 TOKEN = re.compile(r"</?\w*>?|&\w+;|\w+|[^\w\s]")
 SENTENCE_END = ".!?"
 PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
-def _without(text: Column, pattern: str) -> Column:
-    """The text without a run of ``pattern`` at its end."""
-    near = F.right(text, F.lit(NEAR_END))
-    bare = F.regexp_replace(near, rf"(?:{pattern})+\z", "")
-    whole = F.regexp_replace(text, rf"(?:{pattern})+\z", "")
-    return F.when((F.length(text) > NEAR_END) & (F.length(bare) > 16), F.left(text, F.length(text) - F.length(near) + F.length(bare))).otherwise(whole)
+def _end_run(text: Column, pattern: str) -> Column:
+    """How many characters at the end of the text ``pattern`` tiles; it is written backwards and anchored, so it looks at the run alone."""
+    of = lambda c: F.length(F.regexp_extract(F.reverse(c), rf"^(?:{pattern})*", 0))
+    near = of(F.right(text, F.lit(NEAR_END)))
+    return F.when(near < NEAR_END - 16, near).otherwise(of(text))
 
 
 def endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -68,14 +68,14 @@ def endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     word in lower case, ``''`` where the text does not end in letters.
     """
     t = F.col(text_col)
-    unmarked = _without(t, rf"\n|{SIGNS}")
+    unmarked, backwards = F.left(t, F.length(t) - _end_run(t, rf"\n|{BACK_SIGNS}")), F.reverse(F.right(t, F.lit(NEAR_END)))
     rows = df.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"),
-        F.length(unmarked).alias("chars"), F.octet_length(unmarked).alias("bytes"), _without(t, rf"\s|{SIGNS}").alias("bare"),
-        F.regexp_extract(F.right(t, F.lit(NEAR_END)), r"(…|�|\.\.\.|\[truncated\])\]?\s*$", 1).alias("mark"),
+        F.length(unmarked).alias("chars"), F.octet_length(unmarked).alias("bytes"), F.left(t, F.length(t) - _end_run(t, rf"\s|{BACK_SIGNS}")).alias("bare"),
+        F.reverse(F.regexp_extract(backwards, r"^\s*\]?(…|�|\.\.\.|\]detacnurt\[)", 1)).alias("mark"),
     ).filter(F.col("bare") != "")
     rows = rows.withColumn("tail", F.right("bare", F.lit(TAIL))).withColumn("line", F.left(F.substring_index("bare", "\n", -1), F.lit(24)))
-    return rows.withColumn("last", F.lower(F.regexp_extract("tail", r"\p{L}+$", 0))).drop("bare")
+    return rows.withColumn("last", F.lower(F.reverse(F.regexp_extract(F.reverse("tail"), r"^\p{L}+", 0)))).drop("bare")
 
 
 def length_hazards(ends: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def features(source: str, tail: str, line: str) -> tuple[list[int], str]:
     first = TOKEN.match(line)
     head = first[0].lower() if first else ""
     opened = sum(row.count(x) - row.count(y) for x, y in PAIRS.items())
-    tags = len(re.findall(r"<\w+>", row)) - len(re.findall(r"</\w+>", row)) + (head[:1] == "<" and len(row) >= TAIL)
+    tags = len(re.findall(r"<\w+>", row)) - len(re.findall(r"</\w+>", row)) + (head[:1] == "<" and len(row) >= TAIL) if head[:1] == "<" or "<" in row else 0
     place = f"{min(max(opened, 0), 2)},{min(max(tags, 0), 2)},{row.count(chr(34)) % 2},{head if not head.isalnum() else 'w'}"
     words = min(sum(t.isalnum() for t in raw), 18) if since > 90 else -1
     names = (
