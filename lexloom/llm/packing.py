@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexloom.session import cut
 
 #: Items of one task.
-SHARD_ITEMS = 20_000
+SHARD_ITEMS = 8_000
 #: A bin filled to this share counts as full; only those below take part in the search and in the next round.
 UNDERFULL = 0.985
 PACKED = "container string, id {0}, piece int, size bigint, bin string, fill bigint"
@@ -49,42 +49,45 @@ def fill_first(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class _Open:
-    """The underfull bins of a search, with their items and pairs of items as flat arrays."""
+    """The underfull bins of a search. Every exchange one of them could make with an item is a row of flat arrays: what it
+    would give back (nothing, an item, or two) and which bin it is. A changed bin's rows die and new ones are added."""
 
-    def __init__(self, bins: dict[int, list[int]], sizes: np.ndarray, capacity: int):
-        self.bins, self.size, self.capacity = bins, sizes.tolist(), capacity
-        self.fill = {b: sum(self.size[i] for i in own) for b, own in bins.items()}
-        self.pairs = {b: self._pairs_of(b) for b in bins}
-        self._flatten()
+    def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int):
+        self.bins, self.size, self.capacity = dict(enumerate(bins)), sizes.tolist(), capacity
+        self.fill = np.array([sum(self.size[i] for i in own) for own in bins], dtype="int64")
+        self._build()
 
-    def _pairs_of(self, b: int) -> list[tuple[int, int, int]]:
-        """Pairs of a bin's items, one for each two sizes: at most as many as the capacity allows."""
-        by_size = {}
+    def _rows(self, b: int) -> list[tuple[int, int, int, int]]:
+        """Of items of one size only one counts, and of their pairs one for each two sizes: the capacity bounds them."""
+        by_size: dict[int, list[int]] = {}
         for i in self.bins[b]:
             by_size.setdefault(self.size[i], []).append(i)
         order = sorted(by_size)
-        pairs = [(x + y, by_size[x][0], by_size[y][0]) for k, x in enumerate(order) for y in order[k + 1 :]]
-        return pairs + [(2 * x, own[0], own[1]) for x, own in by_size.items() if len(own) > 1]
-
-    def _flatten(self) -> None:
-        order = sorted(self.bins)
-        self.ids = np.array(order, dtype="int64")
-        self.fills = np.array([self.fill[b] for b in order], dtype="int64")
-        one = [(self.size[i], k, i, -1) for k, b in enumerate(order) for i in self.bins[b]]
-        two = [(s, k, i, j) for k, b in enumerate(order) for s, i, j in self.pairs[b]]
-        # a move gives nothing back
-        flat = np.array([(0, k, -1, -1) for k in range(len(order))] + one + two, dtype="int64").reshape(-1, 4)
-        self.back, self.at, self.first, self.second = flat.T
-
-    def best(self, b: int, x: int) -> tuple[int, list[int], int] | None:
-        """The exchange of item ``x`` of bin ``b`` that leaves another bin least room, of all that increase the squared fills."""
+        out = [(0, b, -1, -1)] + [(s, b, by_size[s][0], -1) for s in order]
+        out += [(x + y, b, by_size[x][0], by_size[y][0]) for k, x in enumerate(order) for y in order[k + 1 :]]
+        return out + [(2 * x, b, own[0], own[1]) for x, own in by_size.items() if len(own) > 1]
+
+    def _build(self) -> None:
+        rows, self.span = [], {}
+        for b in self.bins:
+            self.span[b] = (len(rows), 0)
+            rows += self._rows(b)
+            self.span[b] = (self.span[b][0], len(rows))
+        self.n = len(rows)
+        self.flat = np.zeros((4, 2 * self.n + 4096), dtype="int64")
+        self.flat[:, : self.n] = np.array(rows, dtype="int64").reshape(-1, 4).T
+
+    def best(self, b: int, x: int) -> tuple[int, int, list[int]] | None:
+        """``fill, bin, items back`` of the exchange of item ``x`` of bin ``b`` that leaves another bin least room, of all
+        that increase the squared fills."""
         s = self.size[x]
-        grown = self.fills[self.at] + s - self.back  # the other bin's fill afterwards
-        fits = np.flatnonzero((self.back < s) & (grown <= self.capacity) & (grown > self.fill[b]) & (self.ids[self.at] != b))
-        if not len(fits):
+        back, at = self.flat[0, : self.n], self.flat[1, : self.n]
+        grown = self.fill[at] + (s - back)  # the other bin's fill afterwards
+        grown[(back >= s) | (grown > self.capacity) | (at == b)] = -1
+        k = int(grown.argmax())
+        if grown[k] <= self.fill[b]:
             return None
-        k = fits[np.argmax(grown[fits])]
-        return int(self.ids[self.at[k]]), [int(i) for i in (self.first[k], self.second[k]) if i >= 0], int(grown[k])
+        return int(grown[k]), int(at[k]), [int(i) for i in self.flat[2:, k] if i >= 0]
 
     def exchange(self, b: int, x: int, t: int, back: list[int]) -> None:
         self.bins[b].remove(x)
@@ -96,10 +99,20 @@ class _Open:
         self.fill[b] -= d
         self.fill[t] += d
         for k in (b, t):
-            if not self.bins[k] or self.fill[k] == self.capacity:  # empty or full: out of the search
-                self.pairs.pop(k, None)
-            else:
-                self.pairs[k] = self._pairs_of(k)
+            lo, hi = self.span[k]
+            self.flat[0, lo:hi] = 2**40
+            rows = self._rows(k)
+            if self.n + len(rows) > self.flat.shape[1]:
+                self._build()
+                return
+            self.flat[:, self.n : self.n + len(rows)] = np.array(rows, dtype="int64").T
+            self.span[k] = (self.n, self.n + len(rows))
+            self.n += len(rows)
+
+    def close(self, b: int) -> list[int]:
+        lo, hi = self.span.pop(b)
+        self.flat[0, lo:hi] = 2**40
+        return self.bins.pop(b)
 
 
 def search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -107,36 +120,34 @@ def search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list
 
     Each item of a bin looks at every other underfull bin: to move there, to change places with one item, or with two
     that together are smaller. Weight moves only where the other bin ends fuller than this one was, which increases the
-    sum of squared fills, so the search ends; it ends when no such step is left for any bin. Emptied bins are dropped.
+    sum of squared fills, so the search ends; it ends with a round over all bins in which no such step is left. Emptied
+    bins are dropped, bins that became full take no further part.
     """
-    full = [b for b in bins if sizes[b].sum() >= UNDERFULL * capacity]
-    low = _Open({k: list(b) for k, b in enumerate(x for x in bins if sizes[x].sum() < UNDERFULL * capacity)}, sizes, capacity)
-    done: list[list[int]] = []
-    tried: set[int] = set()  # bins without a step since the last change
-    while len(tried) < len(low.bins):
-        b = min((k for k in low.bins if k not in tried), key=lambda k: (low.fill[k], k))
-        step = None
-        for x in sorted(low.bins[b], key=lambda i: (-low.size[i], i)):
-            found = low.best(b, x)
-            if found and (step is None or found[2] > step[1][2]):
-                step = (x, found)
-                if found[2] == capacity:
+    done = [b for b in bins if sizes[b].sum() >= UNDERFULL * capacity]
+    low = _Open([list(b) for b in bins if sizes[b].sum() < UNDERFULL * capacity], sizes, capacity)
+    moved = True
+    while moved:
+        moved = False
+        for b in sorted(low.bins, key=lambda k: (low.fill[k], k)):
+            while b in low.bins:
+                step = None
+                for x in sorted(low.bins[b], key=lambda i: (-low.size[i], i)):
+                    found = low.best(b, x)
+                    if found and (step is None or found[0] > step[1][0]):
+                        step = (x, found)
+                        if found[0] == capacity:
+                            break
+                if step is None:
                     break
-        if step is None:
-            tried.add(b)
-            continue
-        x, (t, back, _) = step
-        low.exchange(b, x, t, back)
-        for k in (b, t):
-            if not low.bins[k]:
-                del low.bins[k], low.fill[k]
-            elif low.fill[k] >= UNDERFULL * capacity:
-                done.append(low.bins.pop(k))
-                del low.fill[k]
-                low.pairs.pop(k, None)
-        tried.clear()
-        low._flatten()
-    return full + done + list(low.bins.values())
+                moved = True
+                x, (_, t, back) = step
+                low.exchange(b, x, t, back)
+                for k in (b, t):
+                    if not low.bins[k]:
+                        low.close(k)
+                    elif low.fill[k] >= UNDERFULL * capacity:
+                        done.append(low.close(k))
+    return done + list(low.bins.values())
 
 
 def _pack_shards(items: DataFrame, capacities: dict[str, int], counts: dict[str, int], tag: str) -> DataFrame:
