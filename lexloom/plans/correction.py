@@ -68,9 +68,9 @@ QUERIES = {
     "model_stage": lambda s, d: correct.dictionary_model(_labelled(s, d), word_pairs(s, d)).select("id", "corrected"),
     "model_stage_requests": lambda s, d: correct.dictionary_model(_requests(s, d), word_pairs(s, d)).select("id", "corrected"),
     "v3_pipeline": lambda s, d: correct.four_stages(_requests(s, d), word_pairs(s, d), _fallbacks(s), F.array(*[F.lit(x) for x in PROTECTED])),
-    "response_rows": lambda s, d: _responses(s, d).select("id", "corrected_query", "changed", "correction_source", "latency_ms", F.array_join("suggestions", ";").alias("suggestions")),
+    "response_results": lambda s, d: _responses(s, d).select("id", "corrected_query", "changed", "correction_source", "latency_ms", F.array_join("suggestions", ";").alias("suggestions")),
     "response_confidence": lambda s, d: _responses(s, d).select("id", "confidence"),
-    "response_v2_rows": lambda s, d: correct.response_v2(correct.dictionary_model(_requests(s, d), word_pairs(s, d)).withColumn("m", F.lit("dictionary")), "text", "corrected", "m").select("id", "corrected_query", "changed", "confidence", F.array_join("suggestions", ";").alias("suggestions")),
+    "response_rows": lambda s, d: correct.response_v2(correct.dictionary_model(_requests(s, d), word_pairs(s, d)).withColumn("m", F.lit("dictionary")), "text", "corrected", "m").select("id", "corrected_query", "changed", "confidence", F.array_join("suggestions", ";").alias("suggestions")),
     "model_routing": lambda s, d: table(s, d, "correction_requests").select("request_id", correct.resolve_model(F.col("model"), ROUTED).alias("model_used"), correct.skips_masking(F.col("model"), True).alias("skip")),
 }
 
@@ -94,6 +94,6 @@ p as (select unnest(list_transform(range(1, len(a) + 1), lambda i: {{'w': lower(
 m as (select z.w as w, min(z.r) as r from p where z.w <> lower(z.r) group by z.w),
 q as (select id, unnest(list_transform({_TOK.format('query')}, lambda t, i: {{'t': t, 'i': i}})) as x from eval_queries)
 select id, string_agg(coalesce(r, x.t), ' ' order by x.i) as corrected from q left join m on m.w = lower(x.t) group by id""",
-    "response_rows": f"select result_id as id, corrected as corrected_query, {sql_norm('corrected')} <> {sql_norm('query')} as changed, model_used as correction_source, round(latency_ms, 2) as latency_ms, case when corrected <> expected then concat('Did you mean ', chr(39), expected, chr(39), '?') else '' end as suggestions from results where error = ''",
+    "response_results": f"select result_id as id, corrected as corrected_query, {sql_norm('corrected')} <> {sql_norm('query')} as changed, model_used as correction_source, round(latency_ms, 2) as latency_ms, case when corrected <> expected then concat('Did you mean ', chr(39), expected, chr(39), '?') else '' end as suggestions from results where error = ''",
     "model_routing": "select request_id, case when model in ('corr-base', 'corr-large-v3') then model else 'dictionary' end as model_used, coalesce(contains(model, 'v2.1'), false) as skip from correction_requests",
 }
