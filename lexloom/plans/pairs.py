@@ -132,6 +132,14 @@ select ord from r, c where i / n <= 0.08 or not same or k <= floor((n - i) * 0.0
 with c as (select count(*) as n, count(*) filter ({_ID}) as i from {_E}),
 r as (select ord, {_ID} as same, row_number() over (partition by {_ID} order by {_H}, ord) as k from {_E})
 select ord from r, c where n <= 2900 or not same or k <= greatest(0, i - (n - 2900))""",
+    "balance_identity_share": f"""
+with c as (select count(*) as n, count(*) filter ({_ID}) as i, count(*) * 2 // 3 as t from {_E}),
+r as (select ord, {_ID} as same, row_number() over (partition by {_ID} order by {_H}, ord) as k from {_E})
+select ord from r, c where n <= t or i >= t or same or k <= t - i""",
+    "trim_target_share": f"""
+with c as (select count(*) as n, count(*) filter ({_ID}) as i, count(*) * 29 // 30 as t from {_E}),
+r as (select ord, {_ID} as same, row_number() over (partition by {_ID} order by {_H}, ord) as k from {_E})
+select ord from r, c where n <= t or not same or k <= greatest(0, i - (n - t))""",
     "split_eval": f"select ord from {_HEAD}",
     "train_minus_eval": f"select ord from {_TRAIN}",
     "split_leakage": f"select (select count(*) from {_EV} v semi join {_TRAIN} t on t.input_text = v.input_text and t.target_text = v.target_text) as pairs, (select count(*) from {_EV} v semi join {_TRAIN} t on t.target_text = v.target_text) as targets",

@@ -128,6 +128,9 @@ select wrong, "right" from e where wrong <> '' and "right" <> '' and wrong <> "r
 with p as (select wrong, word from {_PAIRS} where {_PLAIN} and levenshtein(wrong, word) <= greatest(3, length(word) // 3)), f as (select wrong, word, unnest({CONTEXTS}) as t from p)
 select replace(t, '{{x}}', wrong) as input_text, replace(t, '{{x}}', word) as target_text, 'external_context' as category from f
 union select replace(t, '{{x}}', word), replace(t, '{{x}}', word), 'identity_external' from f""",
+    "gen_external": f"""
+with p as (select wrong, word from {_PAIRS} where {_PLAIN} and levenshtein(wrong, word) <= greatest(3, length(word) // 3))
+select wrong as input_text, word as target_text, 'external_word' as category from p union select word, word, 'identity_external' from p""",
     "gen_existing": f"""
 with e as (select trim(regexp_replace(input_text, '^correct: ', '')) as a, trim(target_text) as b from eval_v3), n as (select *, len({_TOK.format('a')}) as x, len({_TOK.format('b')}) as y from e)
 select distinct a as input_text, b as target_text, case when x = 1 and y = 1 then 'vocab_typo' else 'ecom_query_typo' end as category from n where x between 1 and 15 and y between 1 and 15 and lower(a) <> lower(b)""",

@@ -152,6 +152,14 @@ SQL = {f"typo_{k}": f"select id, {_sql(k, 'w')} as typo from {SQL_PART}" for k i
     "gen_brand_product": f"select distinct typo as input_text, q as target_text, 'ecom_query_typo' as category from ({_query(_BRANDED, _ERRORS)}) where typo is not null",
     "gen_space": f"select typo as input_text, q as target_text, 'space_error' as category from ({_SPACE}) join {SQL_PART} using (id) where typo is not null and typo <> q",
     "gen_vocab": f"select typo as input_text, w as target_text, 'vocab_typo' as category from {_single('w', "(select distinct w as id, w as q, w from " + SQL_PART + " where regexp_full_match(w, '[a-z]{4,15}'))")} where typo is not null",
+    "gen_everyday": f"""
+with t as (select id, w, typo, {sql_rng('inside', 5)} < 2 as inside, ({EVERYDAY})[{sql_rng('form', len(EVERYDAY))} + 1] as form from {_single('w', "(select distinct w as id, w as q, w from " + SQL_PART + ")")} where typo is not null)
+select case when inside then replace(form, '{{w}}', typo) else typo end as input_text, case when inside then replace(form, '{{w}}', w) else w end as target_text, 'everyday_english' as category from t""",
+    "gen_phonetic": f"""
+with p as (select id, q, list_filter(string_split(q, ' '), lambda x: x <> '') as a from {SQL_PART}),
+l as (select id, q, list_reduce(list_prepend('', a), lambda x, y: case when length(y) > length(x) then y else x end) as w from p),
+t as (select id, q, w, {_sql('phonetic', 'w')} as t from l)
+select array_to_string(list_transform(string_split(q, ' '), lambda x: case when x = w then t else x end), ' ') as input_text, q as target_text, 'phonetic_typo' as category from t where t is not null and t <> w""",
     "gen_quota": f"select case when r < 40 then 'brand' when r < 65 then 'product' when r < 95 then 'query' else 'model' end as kind, count(*) as n from (select {sql_rng('quota', 100)} as r from {SQL_PART}) group by kind",
     "grouped_products": "select coalesce(category, 'other') as category, count(distinct canonical) as n, min(canonical) as first from brand_catalog where canonical is not null group by 1",
     "typo_keyboard_letters": f"select id, {_keys(0)} as typo from {SQL_PART}",
